@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("price",)
+MODULES = ("price", "ingest", "relations", "evaluation")
 
 
 def load_all():

@@ -545,6 +545,7 @@ ta_query(
     "SELECT nb.series_id, date, a.y AS atr_14 FROM nb JOIN a USING (series_id, rn)",
     BARS + NB + ", tr AS (SELECT series_id, rn, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM nb)"
     + seeded("a", "tr", "tr", 1 / 14, 14),
+    digits=3,
 )
 ta_query(
     "bbands", "W46", TA.bbands, ["upper_bb", "middle_bb", "lower_bb"],

@@ -98,6 +98,14 @@ def holdout_fold(df: DataFrame, train_ratio: float = 0.80) -> DataFrame:
     return _dated(blocks, days).withColumn("train_from", F.lit(None).cast("date")).select(*FOLD_SCHEMA)
 
 
+def fixed(folds: DataFrame) -> DataFrame:
+    """The fold table as literal rows (at most ``n_splits``), so later plans do not rebuild the calendar."""
+    rows = folds.select(*FOLD_SCHEMA).orderBy("fold").collect()
+    return folds.sparkSession.createDataFrame(
+        [tuple(r) for r in rows], "fold int, valid_start date, valid_end date, train_from date"
+    )
+
+
 def role() -> Column:
     """valid / train / purged / None for a row beside a fold."""
     in_window = F.col("train_from").isNull() | (F.col("date") >= F.col("train_from"))

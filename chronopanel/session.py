@@ -45,10 +45,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through files that outlive executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write an intermediate that several later jobs read, and read it back.
+
+    The files survive lost executors, end the lineage, keep column pruning and
+    give the optimizer a real size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,18 +52,21 @@ def sentiment_index(docs: DataFrame, value_name: str = "fear_greed") -> DataFram
     )
 
 
-def _first_per_day(points: DataFrame) -> DataFrame:
-    """First point of each metric and day, in document order."""
-    return keep_first(points.na.drop(subset=["date"]), ["metric", "date"], "seq").drop("seq")
-
-
 def chart_points(docs: DataFrame) -> DataFrame:
-    """``metric, date, value`` from chart documents."""
-    return _first_per_day(
-        docs.select("metric", F.posexplode(F.from_json("raw", CHART_SCHEMA)["values"]).alias("seq", "i")).select(
-            "metric", epoch_date("i.x").alias("date"), to_double("i.y").alias("value"), "seq"
-        )
+    """``metric, date, value`` from chart documents, the first point of a day kept.
+
+    ``doc_order`` (optional) orders several documents of one metric.
+    """
+    doc = F.col("doc_order") if "doc_order" in docs.columns else F.lit(0).cast("long")
+    points = docs.select(
+        "metric", doc.alias("doc"), F.posexplode(F.from_json("raw", CHART_SCHEMA)["values"]).alias("pos", "i")
+    ).select(
+        "metric",
+        epoch_date("i.x").alias("date"),
+        to_double("i.y").alias("value"),
+        F.struct("doc", "pos").alias("seq"),
     )
+    return keep_first(points.na.drop(subset=["date"]), ["metric", "date"], "seq").drop("seq")
 
 
 def metric_points(docs: DataFrame) -> DataFrame:

@@ -76,11 +76,16 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_instruments(spark: SparkSession, glob: str, names: Mapping[str, str] = CLASSIC_NAMES, suffix: str = "") -> DataFrame:
-    """One CSV per instrument; the series comes from the file name."""
+def read_instruments(
+    spark: SparkSession, glob: str, names: Mapping[str, str] = CLASSIC_NAMES, suffix: str = "", pattern: str | None = None
+) -> DataFrame:
+    """One CSV (or CSV folder) per instrument; the series comes from the path.
+
+    By default the file stem without ``suffix``; ``pattern`` gives another first group.
+    """
     df = rename(read_text_table(spark, glob), names)
-    df = df.withColumn("series_id", file_stem("source_file", suffix)).drop("source_file", "ingest_order")
-    return tidy_columns(df)
+    series = F.regexp_extract("source_file", pattern, 1) if pattern else file_stem("source_file", suffix)
+    return tidy_columns(df.withColumn("series_id", series).drop("source_file", "ingest_order"))
 
 
 def provider_bars(raw: DataFrame, series: Column, ingest_order: str, fields: Mapping[str, str] = PROVIDER_FIELDS) -> DataFrame:
