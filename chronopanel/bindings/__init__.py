@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("price", "ingest", "relations", "evaluation")
+MODULES = ("price", "ingest", "relations", "evaluation", "selecting", "texts", "streams", "learning")
 
 
 def load_all():

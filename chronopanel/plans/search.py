@@ -35,11 +35,10 @@ CONFIG = ("kind", "train_window_days", "vol_window", "k", "feature_set", "model"
 
 def config_grid(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
     """Cross product of the axes with a stable hash (as many rows as combinations)."""
-    grid = None
+    grid = spark.range(1)
     for name, values in axes.items():
-        kind = "string" if isinstance(values[0], str) else ("double" if isinstance(values[0], float) else "int")
-        part = spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-        grid = part if grid is None else grid.crossJoin(part)
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    grid = grid.drop("id")
     return grid.withColumn("config_hash", config_hash(list(axes)))
 
 
