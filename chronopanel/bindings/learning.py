@@ -125,7 +125,7 @@ def search_data(spark, sf_dir, task):
     return SR.SearchData(model_rows(spark, sf_dir), GROUPS, QUICK, task)
 
 
-SMALL = dict(windows=(730, 0), vol_windows=(7,), ks=(0.9, 1.1), top_ks=(5,), scout_splits=1, confirm_splits=2, final_splits=2, keep_windows=1, keep_labels=1, keep_groups=1)
+SMALL = dict(windows=(730, 0), vol_windows=(7,), ks=(0.9,), top_ks=(5,), scout_splits=1, confirm_splits=2, final_splits=2, keep_windows=1, keep_labels=1, keep_groups=1)
 
 
 @query("move_search", "X03 X01 J08 O04 S18")
@@ -138,7 +138,7 @@ def _(spark, sf_dir):
 
 @query("three_class_search", "X02 X01 J08")
 def _(spark, sf_dir):
-    plan = SR.SearchPlan(name="three_class_search", **{**SMALL, "ks": (0.7,)}, scout_model="logistic", confirm_models=("logistic",), start_top_k=7)
+    plan = SR.SearchPlan(name="three_class_search", **{**SMALL, "windows": (730,), "ks": (0.7,)}, scout_model="logistic", confirm_models=("logistic",), start_top_k=7)
     store = ResultStore(spark, scratch_path(spark, "class-search"))
     SR.coarse_to_fine(search_data(spark, sf_dir, "three_class"), store, plan)
     return SR.comparison_rows(store.load())
@@ -162,3 +162,19 @@ def _(spark, sf_dir):
 @query("regression_formulations", "M08 M14 X02")
 def _(spark, sf_dir):
     return SR.regression_comparison(search_data(spark, sf_dir, "move"), 21, 0.7, "all", [QUICK_REG["random_forest_reg"], QUICK_REG["lightgbm_reg"]], 1, 730)
+
+
+@query("model_dataset_profile", "A05 A06 W23 W28 W30")
+def _(spark, sf_dir):
+    """Coverage of every column of the anchor's full dataset: price, peer, sparse and exogenous families."""
+    from ..operators.selection import profile
+    from ..plans.dataset import anchor_dataset
+    from .base import ANCHOR, PEERS, sparse_closes, status_metrics
+
+    sparse = sparse_closes(spark, sf_dir)
+    metrics = status_metrics(spark, sf_dir)
+    df, families = anchor_dataset(
+        line_bars(spark, sf_dir), ANCHOR, PEERS, sparse, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], metrics, ["F", "O", "P"]
+    )
+    names = [f for fam in families.values() for f in fam]
+    return profile(stored(df, "dataset"), names)

@@ -247,7 +247,7 @@ def order_results(spark, sf_dir):
         F.round(F.avg("o_totalprice"), 2).alias("robust_score"), F.max("o_custkey").cast("double").alias("roc_auc")
     )
     r = r.withColumn("config_hash", config_hash(["feature_set", "model", "top_k"]))
-    return r.withColumns({"kind": F.lit("scout"), "selected_features": F.array(F.array("feature_set"))})
+    return r.withColumns({"kind": F.lit("scout"), "task": F.lit("orders"), "selected_features": F.array(F.array("feature_set"))})
 
 
 @query(
@@ -266,7 +266,7 @@ def _(spark, sf_dir):
     out("SELECT 'scout' AS kind, feature_set, model, top_k, robust_score, roc_auc FROM rec", "kind feature_set model", "", "robust_score roc_auc", "top_k", ctes=REC),
 )
 def _(spark, sf_dir):
-    return SR.comparison_rows(order_results(spark, sf_dir))
+    return SR.comparison_rows(order_results(spark, sf_dir)).drop("task")
 
 
 @query(

@@ -97,18 +97,42 @@ def percentile_rank(c, n: int, min_rows: int, w: SeriesWindow) -> Column:
 class Frames:
     """Rolling statistics of many windows that share their underlying aggregates.
 
-    Spark evaluates every window expression it is given, even repeated ones, so
-    a family asks here for each (function, column, length) once.
+    Spark recomputes a sliding frame for every row, so its cost grows with the
+    window.  Up to ``DIRECT`` rows that is cheap.  For longer windows rows are
+    cut into runs of the window's length: any window is then the tail of one run
+    plus the head of the next, both are running aggregates (constant work per
+    row), and the two sides are merged with the usual update of counts, means
+    and central moments.  Nothing is subtracted, so no precision is lost.
+
+    Each (function, column, length) is computed once however often it is asked for.
     """
 
+    DIRECT = 21
+    STATES = {
+        "count": ("n",),
+        "avg": ("n", "mean"),
+        "stddev_samp": ("n", "mean", "var"),
+        "skewness": ("n", "mean", "var", "skew"),
+        "max": ("max",),
+        "min": ("min",),
+    }
+
     def __init__(self, w: SeriesWindow):
         self.w = w
-        self.parts: dict[str, Column] = {}
+        self.direct: dict[str, Column] = {}
+        self.merged: dict[int, dict[str, tuple[str, str]]] = {}
+        self.values: dict[int, dict[str, Column]] = {}
 
     def part(self, function: str, c: str, n: int) -> Column:
         name = f"__{function}_{c}_{n}"
-        if name not in self.parts:
-            self.parts[name] = getattr(F, function)(c).over(self.w.last(n))
+        if n <= self.DIRECT:
+            if name not in self.direct:
+                self.direct[name] = getattr(F, function)(c).over(self.w.last(n))
+            return F.col(name)
+        states = self.merged.setdefault(n, {})
+        for state in self.STATES[function]:
+            states[f"{state}_{c}"] = (state, c)
+        self.values.setdefault(n, {})[name] = self._merge(function, c, n)
         return F.col(name)
 
     def enough(self, c: str, n: int, min_rows: int, value: Column) -> Column:
@@ -128,7 +152,63 @@ class Frames:
         return self.enough(c, n, max(3, min_rows), F.when(flat, F.lit(0.0)).otherwise(adjusted))
 
     def add(self, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-        return df.withColumns(self.parts).withColumns(columns).drop(*self.parts)
+        if self.direct:
+            df = df.withColumns(self.direct)
+        if self.merged:
+            df = self._two_sided(df.withColumn("__pos", F.row_number().over(self.w.rows)))
+        return df.withColumns(columns).drop(*self.direct, *(v for vs in self.values.values() for v in vs), "__pos")
+
+    def _two_sided(self, df: DataFrame) -> DataFrame:
+        """Tail and head of the two runs under each window, for all lengths in a few steps."""
+        keys, order, lengths = self.w.keys, self.w.order, list(self.merged)
+        df = df.withColumns({f"__run_{n}": F.floor((F.col("__pos") - 1) / n) for n in lengths})
+        tails, heads, lagged, values = {}, {}, {}, {}
+        for n in lengths:
+            run = Window.partitionBy(*keys, f"__run_{n}")
+            tails[f"__tail_{n}"] = self._running(n, run.orderBy(F.col(order).desc()))
+            heads[f"__head_{n}"] = self._running(n, run.orderBy(order))
+            in_order = Window.partitionBy(*keys).orderBy(f"__run_{n}", order)
+            # the last row of a run has its whole window in the head
+            lagged[f"__tail_{n}"] = F.when(F.col("__pos") % n != 0, F.lag(f"__tail_{n}", n - 1).over(in_order))
+            values.update(self.values[n])
+        df = df.withColumns(tails).withColumns({**heads, **lagged})
+        return df.withColumns(values).drop(*(f"__{k}_{n}" for n in lengths for k in ("run", "tail", "head")))
+
+    def _running(self, n: int, spec) -> Column:
+        frame = spec.rowsBetween(Window.unboundedPreceding, 0)
+        return F.struct(*[self._state(s, c).over(frame).alias(k) for k, (s, c) in self.merged[n].items()])
+
+    @staticmethod
+    def _state(state: str, c: str) -> Column:
+        return {
+            "n": F.count, "mean": F.avg, "var": F.var_pop, "skew": F.skewness, "max": F.max, "min": F.min,
+        }[state](c)
+
+    @staticmethod
+    def _merge(function: str, c: str, n: int) -> Column:
+        """The statistic of tail and head together, as SQL text (one parse instead of many calls)."""
+        a, b = (lambda s: f"__tail_{n}.{s}_{c}"), (lambda s: f"__head_{n}.{s}_{c}")
+        if function in ("max", "min"):
+            return F.expr(f"{'greatest' if function == 'max' else 'least'}({a(function)}, {b(function)})")
+        na, nb = f"coalesce({a('n')}, 0)", f"coalesce({b('n')}, 0)"
+        total = f"({na} + {nb})"
+        if function == "count":
+            return F.expr(total)
+        ma, mb = f"coalesce({a('mean')}, {b('mean')})", f"coalesce({b('mean')}, {a('mean')})"
+        if function == "avg":
+            return F.expr(f"{ma} + ({mb} - {ma}) * try_divide({nb}, {total})")
+        qa, qb = f"(coalesce({a('var')}, 0D) * {na})", f"(coalesce({b('var')}, 0D) * {nb})"
+        gap = f"({mb} - {ma})"
+        second = f"({qa} + {qb} + {gap} * {gap} * try_divide(double({na}) * {nb}, {total}))"
+        if function == "stddev_samp":
+            return F.expr(f"sqrt(try_divide({second}, {total} - 1))")
+        third = (
+            f"(coalesce({a('skew')}, 0D) * {qa} * sqrt(coalesce(try_divide({qa}, {na}), 0D))"
+            f" + coalesce({b('skew')}, 0D) * {qb} * sqrt(coalesce(try_divide({qb}, {nb}), 0D))"
+            f" + {gap} * {gap} * {gap} * {na} * {nb} * try_divide({na} - {nb}, double({total}) * {total})"
+            f" + 3 * {gap} * try_divide({na} * {qb} - {nb} * {qa}, {total}))"
+        )
+        return F.expr(f"try_divide({third}, {second} * sqrt(try_divide({second}, {total})))")
 
 
 def carry_forward(c, w: SeriesWindow) -> Column:

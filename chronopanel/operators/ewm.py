@@ -74,26 +74,21 @@ def ewm(
     frame = base.withColumns({**decays, **steps})
     frame = frame.withColumns({f"__total_{n}": F.sum(f"__d_{n}").over(w.so_far) for n in alphas})
 
+    known = F.col(prev).isNotNull() | F.col(x).isNotNull()
     for name in alphas:
-        cut, decay, part = f"__c_{name}", f"__d_{name}", f"__q_{name}"
+        # the steps of one mean stay together: they all run on a single sort by (keys, cut, order)
+        cut, decay = "__cut", f"__d_{name}"
         frame = frame.withColumn(cut, F.floor(F.col(f"__total_{name}") / CUT))
-        inside = Window.partitionBy(*w.keys, cut).orderBy(w.order)
-        inside_so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+        so_far = Window.partitionBy(*w.keys, cut).orderBy(w.order).rowsBetween(Window.unboundedPreceding, 0)
         across = Window.partitionBy(*w.keys).orderBy(cut, w.order)
         frame = frame.withColumns(
-            {"__entry": F.first(decay).over(inside_so_far), "__level": F.sum(decay).over(inside_so_far)}
+            {"__entry": F.first(decay).over(so_far), "__level": F.sum(decay).over(so_far) - F.first(decay).over(so_far)}
         )
-        frame = frame.withColumn("__level", F.col("__level") - F.col("__entry"))
-        frame = frame.withColumn(
-            part,
-            F.sum(F.col(f"__s_{name}") * F.exp("__level")).over(inside_so_far) * F.exp(-F.col("__level")),
-        )
-        frame = frame.withColumn("__lq", F.lag(part).over(across))
-        frame = frame.withColumn("__cq", F.first("__lq").over(inside_so_far))
-        carried = F.coalesce(F.col("__cq") * F.exp(-(F.col("__level") + F.col("__entry"))), F.lit(0.0))
-        known = F.col(prev).isNotNull() | F.col(x).isNotNull()
-        frame = frame.withColumn(name, F.when(known, F.col(part) + carried)).drop(
-            "__entry", "__level", part, cut, "__lq", "__cq"
-        )
-    scratch = [c for n in alphas for c in (f"__d_{n}", f"__s_{n}", f"__total_{n}")]
-    return frame.drop(x, pos, prev, *scratch)
+        terms = F.sum(F.col(f"__s_{name}") * F.exp("__level")).over(so_far)
+        frame = frame.withColumn("__part", terms * F.exp(-F.col("__level")))
+        frame = frame.withColumn("__before", F.lag("__part").over(across))
+        frame = frame.withColumn("__before", F.first("__before").over(so_far))
+        carried = F.coalesce(F.col("__before") * F.exp(-(F.col("__level") + F.col("__entry"))), F.lit(0.0))
+        frame = frame.withColumn(name, F.when(known, F.col("__part") + carried))
+    scratch = [f"__{k}_{n}" for n in alphas for k in ("d", "s", "total")]
+    return frame.drop(x, pos, prev, "__cut", "__entry", "__level", "__part", "__before", *scratch)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import rolling as R
 from ..functions.rolling import SeriesWindow
+from ..session import small_table
 
 FIXED_THRESHOLD = 0.01
 DYNAMIC_WINDOW, DYNAMIC_MIN, DYNAMIC_K = 21, 14, 0.7
@@ -28,7 +29,7 @@ def target_classes(target: str) -> list[int]:
 
 
 def target_class_table(spark, targets: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(t, target_classes(t)) for t in targets], "target string, classes array<int>")
+    return small_table(spark, [(t, target_classes(t)) for t in targets], "target string, classes array<int>")
 
 
 def forward_target(df: DataFrame, w: SeriesWindow) -> DataFrame:

@@ -63,23 +63,19 @@ def candles(df: DataFrame) -> DataFrame:
     )
 
 
-def rolling_moments(df: DataFrame, w: SeriesWindow, windows: Sequence[int] = ROLL_WINDOWS) -> DataFrame:
-    """Mean, volatility, downside volatility and skew of returns per window."""
-    f, cols = R.Frames(w), {}
-    down = N.clip_high("r1", 0.0)
-    df = df.withColumn("__down", down * down)
+def _moment_columns(f: R.Frames, windows: Sequence[int]) -> dict:
+    cols = {}
     for n in windows:
         need = max(3, n // 2)
         cols[f"return_mean_{n}d"] = f.mean("r1", n, need)
         cols[f"volatility_{n}d"] = f.std("r1", n, need)
         cols[f"downside_vol_{n}d"] = f.enough("r1", n, need, F.sqrt(f.part("avg", "__down", n)))
         cols[f"return_skew_{n}d"] = f.skew("r1", n, need)
-    return f.add(df, cols).drop("__down")
+    return cols
 
 
-def rolling_levels(df: DataFrame, w: SeriesWindow, windows: Sequence[int] = ROLL_WINDOWS) -> DataFrame:
-    """Gap to the moving average, price and volume z-scores, mean log range."""
-    f, cols = R.Frames(w), {}
+def _level_columns(f: R.Frames, windows: Sequence[int]) -> dict:
+    cols = {}
     for n in windows:
         need = max(3, n // 2)
         avg = f.mean("close", n, need)
@@ -89,7 +85,48 @@ def rolling_levels(df: DataFrame, w: SeriesWindow, windows: Sequence[int] = ROLL
             F.col("log_volume") - f.mean("log_volume", n, need), f.std("log_volume", n, need)
         )
         cols[f"range_mean_{n}d"] = f.mean("range_log", n, need)
-    return f.add(df, cols)
+    return cols
+
+
+def _range_columns(f: R.Frames, windows: Sequence[int]) -> dict:
+    cols = {}
+    for n in windows:
+        need = max(10, n // 2)
+        high = f.enough("close", n, need, f.part("max", "close", n))
+        low = f.enough("close", n, need, f.part("min", "close", n))
+        cols[f"drawdown_{n}d"] = N.ratio_change(F.col("close"), high)
+        cols[f"range_position_{n}d"] = N.safe_div(F.col("close") - low, high - low)
+    return cols
+
+
+def _with_downside(df: DataFrame) -> DataFrame:
+    down = N.clip_high("r1", 0.0)
+    return df.withColumn("__down", down * down)
+
+
+def rolling_moments(df: DataFrame, w: SeriesWindow, windows: Sequence[int] = ROLL_WINDOWS) -> DataFrame:
+    """Mean, volatility, downside volatility and skew of returns per window."""
+    f = R.Frames(w)
+    return f.add(_with_downside(df), _moment_columns(f, windows)).drop("__down")
+
+
+def rolling_levels(df: DataFrame, w: SeriesWindow, windows: Sequence[int] = ROLL_WINDOWS) -> DataFrame:
+    """Gap to the moving average, price and volume z-scores, mean log range."""
+    f = R.Frames(w)
+    return f.add(df, _level_columns(f, windows))
+
+
+def drawdowns(df: DataFrame, w: SeriesWindow, windows: Sequence[int] = RANGE_WINDOWS) -> DataFrame:
+    """Distance from the rolling high and place inside the rolling range."""
+    f = R.Frames(w)
+    return f.add(df, _range_columns(f, windows))
+
+
+def rolling_family(df: DataFrame, w: SeriesWindow) -> DataFrame:
+    """Moments, levels and ranges together, so that every window is laid out once."""
+    f = R.Frames(w)
+    cols = {**_moment_columns(f, ROLL_WINDOWS), **_level_columns(f, ROLL_WINDOWS), **_range_columns(f, RANGE_WINDOWS)}
+    return f.add(_with_downside(df), cols).drop("__down")
 
 
 def ratios(df: DataFrame) -> DataFrame:
@@ -143,17 +180,6 @@ def bollinger(df: DataFrame, w: SeriesWindow) -> DataFrame:
     )
 
 
-def drawdowns(df: DataFrame, w: SeriesWindow, windows: Sequence[int] = RANGE_WINDOWS) -> DataFrame:
-    f, cols = R.Frames(w), {}
-    for n in windows:
-        need = max(10, n // 2)
-        high = f.enough("close", n, need, f.part("max", "close", n))
-        low = f.enough("close", n, need, f.part("min", "close", n))
-        cols[f"drawdown_{n}d"] = N.ratio_change(F.col("close"), high)
-        cols[f"range_position_{n}d"] = N.safe_div(F.col("close") - low, high - low)
-    return f.add(df, cols)
-
-
 def price_volume_corr(df: DataFrame, w: SeriesWindow) -> DataFrame:
     return df.withColumn("price_volume_corr_30d", R.correlation("r1", "volume_log_change", 30, 15, w))
 
@@ -170,26 +196,19 @@ def calendar_cycle(df: DataFrame, date: str = "date") -> DataFrame:
 def price_features(df: DataFrame, w: SeriesWindow) -> DataFrame:
     """All price and volume features; one exchange, Spark prunes what is not selected."""
     df = base_columns(df, w)
-    df = returns(df, w)
-    df = candles(df)
-    df = rolling_moments(df, w)
-    df = rolling_levels(df, w)
-    df = ratios(df)
     df = ema_gaps(df, w)
-    df = simple_rsi(df, w)
     df = macd(df, w)
+    df = rolling_family(df, w)
+    df = simple_rsi(df, w)
     df = bollinger(df, w)
-    df = drawdowns(df, w)
     df = price_volume_corr(df, w)
     df = vol_regime(df, w)
+    df = ratios(returns(candles(df), w))
     if w.order == "date":
         df = calendar_cycle(df)
     return df
 
 
-SHARED = ("log_price", "log_volume", "range_log", "r1", "log_r1")
-
-
 def feature_names() -> list[str]:
     """Names produced by ``price_features`` in a stable order."""
     names = [f"{p}_{n}d" for n in RETURN_LAGS for p in ("return", "log_return")]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .splits import assign
+from ..session import small_table
 
 # Which catalogue families each named feature group contains.
 GROUPS_V1 = {
@@ -32,13 +33,12 @@ SMALLEST_GROUP = 5
 def catalog(spark: SparkSession, families: Mapping[str, Sequence[str]]) -> DataFrame:
     """``feature, family`` rows of the active features (as many rows as columns)."""
     rows = [(f, fam) for fam, feats in families.items() for f in feats]
-    return spark.createDataFrame(rows, "feature string, family string")
+    return small_table(spark, rows, "feature string, family string")
 
 
 def feature_groups(features: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """Group name and feature, deduplicated; groups with under five features are left out."""
-    pairs = features.sparkSession.createDataFrame(
-        [(g, fam) for g, fams in groups.items() for fam in fams], "feature_set string, family string"
+    pairs = small_table(features.sparkSession, [(g, fam) for g, fams in groups.items() for fam in fams], "feature_set string, family string"
     )
     members = features.join(F.broadcast(pairs), "family").select("feature_set", "feature").distinct()
     sizes = members.groupBy("feature_set").agg(F.count(F.lit(1)).alias("n"))

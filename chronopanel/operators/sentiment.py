@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import col, to_double
 from ..functions.text import clean_post
 from .ranking import exact_median
+from ..session import small_table
 
 # Domain words and their polarity.
 DOMAIN_LEXICON = {
@@ -38,7 +39,7 @@ def compound(posts: DataFrame, post_id: str, lexicon: Mapping[str, float] | None
     the join itself.
     """
     words = dict(DOMAIN_LEXICON if lexicon is None else lexicon)
-    table = posts.sparkSession.createDataFrame(list(words.items()), "word string, polarity double")
+    table = small_table(posts.sparkSession, list(words.items()), "word string, polarity double")
     if len(words) <= BROADCAST_WORDS:
         table = F.broadcast(table)
     tokens = posts.select(

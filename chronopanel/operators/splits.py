@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .panel import calendar
 from .ranking import positions_by_hash
+from ..session import small_table
 
 FOLD_SCHEMA = ["fold", "valid_start", "valid_end", "train_from"]
 
@@ -101,8 +102,7 @@ def holdout_fold(df: DataFrame, train_ratio: float = 0.80) -> DataFrame:
 def fixed(folds: DataFrame) -> DataFrame:
     """The fold table as literal rows (at most ``n_splits``), so later plans do not rebuild the calendar."""
     rows = folds.select(*FOLD_SCHEMA).orderBy("fold").collect()
-    return folds.sparkSession.createDataFrame(
-        [tuple(r) for r in rows], "fold int, valid_start date, valid_end date, train_from date"
+    return small_table(folds.sparkSession, [tuple(r) for r in rows], "fold int, valid_start date, valid_end date, train_from date"
     )
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from statistics import mean, pstdev
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from ..functions import arrays as A
 from ..operators import metrics as M
 from ..operators import selection as SEL
 from ..operators import splits as SP
-from ..session import stored
+from ..session import small_table, stored
 from .models import ModelSpec, fit_classifier, fit_regressor, predict_classes, predict_values
 
 KEYS = ("series_id", "date")
@@ -104,11 +105,31 @@ def classification_cv(
         return None
     pooled = reduce(DataFrame.unionByName, parts).withColumn("pred", A.class_of_max("p", list(classes)))
     predictions = stored(pooled, "oof")
-    fold_scores = M.classification_scores(predictions, ["fold"], "y", "pred", "p", classes)
-    overall = M.classification_scores(predictions, [], "y", "pred", "p", classes).first().asDict()
-    spread = M.fold_summary(M.class_scores(predictions, ["fold"], "y", "pred"), []).first().asDict()
-    overall["oof_rows"] = overall.pop("samples")
-    return Evaluation(predictions, fold_scores, {**overall, **spread}, selected)
+    scores, summary = pooled_and_fold_scores(predictions, classes)
+    return Evaluation(predictions, scores, summary, selected)
+
+
+POOLED = 0
+
+
+def pooled_and_fold_scores(predictions: DataFrame, classes: Sequence[int]) -> tuple[DataFrame, dict]:
+    """Scores of every fold and of all folds together from one pass (fold 0 stands for all)."""
+    both = predictions.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit(POOLED))))
+    scores = M.classification_scores(both, ["fold"], "y", "pred", "p", classes)
+    rows = [r.asDict() for r in scores.collect()]  # one row per fold
+    per_fold = small_table(
+        predictions.sparkSession, [tuple(r[c] for c in scores.columns) for r in rows if r["fold"] != POOLED],
+        ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.schema.fields),
+    )
+    summary = next(r for r in rows if r["fold"] == POOLED)
+    f1 = [r["macro_f1"] for r in rows if r["fold"] != POOLED]
+    summary["oof_rows"] = summary.pop("samples")
+    del summary["fold"]
+    summary["fold_macro_f1_mean"] = mean(f1)
+    summary["fold_macro_f1_std"] = pstdev(f1)
+    summary["fold_macro_f1_worst"] = min(f1)
+    summary["robust_score"] = mean(f1) - 0.25 * pstdev(f1)
+    return per_fold, summary
 
 
 def regression_cv(

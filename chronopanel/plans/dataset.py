@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from ..operators import labels as L
 from ..operators import peers as P
 from ..operators import price as PR
 from ..operators.cleaning import finite_only
+from ..operators.panel import series_gate
 
 TARGETS = (
     "target_end_date", "target_return_1d", "threshold_fixed", "threshold_dynamic",
@@ -20,6 +22,11 @@ TARGETS = (
 )
 
 
+def column_name(text: str) -> str:
+    """A source name as part of a column name."""
+    return re.sub(r"[^0-9a-z]+", "_", text.lower()).strip("_")
+
+
 def series_dataset(panel: DataFrame, k: float = L.DYNAMIC_K, features: Sequence[str] | None = None) -> DataFrame:
     """Price features and targets of every series: one exchange by series."""
     w = SeriesWindow()
@@ -32,7 +39,7 @@ def series_dataset(panel: DataFrame, k: float = L.DYNAMIC_K, features: Sequence[
 def peer_matrix(panel: DataFrame, anchor_id: str, peers: Sequence[str]) -> DataFrame:
     """Peer and basket features of the anchor, one row per date."""
     w = SeriesWindow()
-    returns = P.short_returns(panel, w)
+    returns = P.short_returns(series_gate(panel, ["series_id"], "close", P.PEER_GATE), w)
     known = [p for p in peers if p != anchor_id]
     pairs = P.peer_features(returns, anchor_id)
     names = {
@@ -41,7 +48,7 @@ def peer_matrix(panel: DataFrame, anchor_id: str, peers: Sequence[str]) -> DataF
     }
     wide = pairs.groupBy("date").agg(
         *[
-            F.max(F.when(F.col("peer_id") == p, F.col(src))).alias("crypto_" + dst.format(p=p.lower()))
+            F.max(F.when(F.col("peer_id") == p, F.col(src))).alias("crypto_" + dst.format(p=column_name(p)))
             for p in known
             for src, dst in names.items()
         ]
@@ -54,6 +61,7 @@ def peer_matrix(panel: DataFrame, anchor_id: str, peers: Sequence[str]) -> DataF
 
 def macro_matrix(calendar_rows: DataFrame, sparse: DataFrame, names: Sequence[str], anchor_returns: DataFrame) -> DataFrame:
     """Lagged features of sparse series on the anchor's dates, one column set per series."""
+    sparse = series_gate(sparse, ["macro_id"], "close", X.SPARSE_GATE)
     keyed = calendar_rows.select("date").join(F.broadcast(sparse.select("macro_id").distinct()))
     rows = keyed.join(sparse.select("macro_id", "date", "close"), ["macro_id", "date"], "left").join(
         anchor_returns.select("date", F.col("r1").alias("anchor_r1")), "date", "left"
@@ -62,12 +70,13 @@ def macro_matrix(calendar_rows: DataFrame, sparse: DataFrame, names: Sequence[st
     feats = X.lagged_macro(rows, w, "close", "anchor_r1")
     cols = ["ret_1d_lag1", "ret_5d_lag1", "ret_20d_lag1", "vol_20d_lag1", "corr_30d_lag1", "staleness_days_lag1"]
     return feats.groupBy("date").agg(
-        *[F.max(F.when(F.col("macro_id") == n, F.col(c))).alias(f"macro_{n.lower()}_{c}") for n in names for c in cols]
+        *[F.max(F.when(F.col("macro_id") == n, F.col(c))).alias(f"macro_{column_name(n)}_{c}") for n in names for c in cols]
     )
 
 
 def exogenous_matrix(calendar_rows: DataFrame, metrics: DataFrame, names: Sequence[str], gate: DataFrame | None = None) -> DataFrame:
     """Lagged features of exogenous metrics on the anchor's dates."""
+    metrics = series_gate(metrics, ["metric"], "value", X.SPARSE_GATE)
     keyed = calendar_rows.select("date").join(F.broadcast(metrics.select("metric").distinct()))
     rows = keyed.join(metrics.select("metric", "date", "value"), ["metric", "date"], "left")
     feats = X.exogenous(rows, SeriesWindow(("metric",), "date"), "value", gate)
@@ -75,7 +84,7 @@ def exogenous_matrix(calendar_rows: DataFrame, metrics: DataFrame, names: Sequen
         ["log_change_1d", "log_change_7d"] if gate is not None else []
     )
     return feats.groupBy("date").agg(
-        *[F.max(F.when(F.col("metric") == n, F.col(c))).alias(f"ext_{n}_{c}") for n in names for c in cols]
+        *[F.max(F.when(F.col("metric") == n, F.col(c))).alias(f"ext_{column_name(n)}_{c}") for n in names for c in cols]
     )
 
 

@@ -16,7 +16,7 @@ from ..operators import metrics as M
 from ..operators import selection as SEL
 from ..operators import splits as SP
 from ..operators.cleaning import recent_window
-from ..session import stored
+from ..session import small_table, stored
 from ..sources.results import save_model
 from .crossval import KEYS, Evaluation, _sides, classification_cv, pick_features
 from .models import Fitted, ModelSpec, fit_classifier, predict_classes
@@ -64,8 +64,7 @@ def evaluate_task(
             s = done.summary
             rows.append((group, spec.name, s["accuracy"], s["balanced_accuracy"], s["macro_f1"], s["fold_macro_f1_mean"], s["fold_macro_f1_std"], s["oof_rows"]))
             store[(group, spec.name)] = (done, spec, features)
-    comparison = spark.createDataFrame(
-        rows,
+    comparison = small_table(spark, rows,
         "feature_set string, model string, accuracy double, balanced_accuracy double, macro_f1 double, "
         "fold_macro_f1_mean double, fold_macro_f1_std double, oof_rows bigint",
     )
@@ -83,7 +82,7 @@ def evaluate_task(
     for p in parts[1:]:
         long = long.unionByName(p)
     long = stored(long, "holdout_predictions")
-    weights = spark.createDataFrame([(f"{r[0]}/{r[1]}", r[4]) for r in ranked[:members]], "model string, score double")
+    weights = small_table(spark, [(f"{r[0]}/{r[1]}", r[4]) for r in ranked[:members]], "model string, score double")
     ensemble = D.ensemble(long, weights, KEYS)
     best_p = long.filter(F.col("model") == f"{best[0]}/{best[1]}").select(*KEYS, F.col("p").alias("best_p"))
     truth = test.select(*KEYS, F.col(target).cast("int").alias("y"))
@@ -188,8 +187,7 @@ def refit_locked(df: DataFrame, config: Mapping[str, object], features: Sequence
     window = config.get("train_window_days")
     train = recent_window(df, window)
     span = train.agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    whole = df.sparkSession.createDataFrame(
-        [(0, span["hi"], span["hi"], None)], "fold int, valid_start date, valid_end date, train_from date"
+    whole = small_table(df.sparkSession, [(0, span["hi"], span["hi"], None)], "fold int, valid_start date, valid_end date, train_from date"
     ).withColumns({"valid_start": F.date_add("valid_start", 366), "valid_end": F.date_add("valid_end", 366)})
     target = str(config["target"])
     chosen = pick_features(train, whole, features, target, int(config.get("top_k", 100)))[0]
@@ -199,8 +197,7 @@ def refit_locked(df: DataFrame, config: Mapping[str, object], features: Sequence
         "train_first_date": span["lo"], "train_last_date": span["hi"], "train_rows": span["n"],
     }
     save_model(fitted.as_pipeline(), card, path)
-    summary = df.sparkSession.createDataFrame(
-        [(spec.name, len(chosen), str(span["lo"]), str(span["hi"]), span["n"], sorted(chosen))],
+    summary = small_table(df.sparkSession, [(spec.name, len(chosen), str(span["lo"]), str(span["hi"]), span["n"], sorted(chosen))],
         "model string, feature_count int, train_first_date string, train_last_date string, train_rows bigint, features array<string>",
     )
     return fitted, summary
@@ -215,7 +212,7 @@ def seed_stability(df: DataFrame, target: str, features: Sequence[str], spec: Mo
         if done:
             s = done.summary
             rows.append((spec.name, seed, s["macro_f1"], s["robust_score"], s["oof_rows"]))
-    return df.sparkSession.createDataFrame(rows, "model string, seed int, macro_f1 double, robust_score double, oof_rows bigint")
+    return small_table(df.sparkSession, rows, "model string, seed int, macro_f1 double, robust_score double, oof_rows bigint")
 
 
 def post_analysis(df: DataFrame, target: str, features: Sequence[str], specs: Sequence[ModelSpec], folds: DataFrame, vol_rank: str, trend: str, seeds: Sequence[int] = ()) -> dict[str, DataFrame]:
@@ -232,7 +229,7 @@ def post_analysis(df: DataFrame, target: str, features: Sequence[str], specs: Se
     for name, done in runs.items():
         part = done.predictions.withColumn("model", F.lit(name))
         long = part if long is None else long.unionByName(part)
-    weights = spark.createDataFrame([(n, d.summary["robust_score"]) for n, d in runs.items()], "model string, score double")
+    weights = small_table(spark, [(n, d.summary["robust_score"]) for n, d in runs.items()], "model string, score double")
     shared = J.common_support(long, KEYS, "model", len(runs))
     first = next(iter(runs))
     facts = long.filter(F.col("model") == first).select(*KEYS, "fold", "y")

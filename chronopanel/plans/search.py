@@ -8,8 +8,10 @@ next stage.  Grids and summaries have one row per configuration.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor, as_completed
+from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from ..operators import labels as L
 from ..operators import splits as SP
 from ..operators.joins import missing_configs
 from ..operators.ranking import top_per_group
-from ..session import stored
+from ..session import small_table, stored
 from ..sources.results import ResultStore
 from .crossval import classification_cv, regression_cv
 from .models import ModelSpec
@@ -34,17 +36,20 @@ CONFIG = ("kind", "train_window_days", "vol_window", "k", "feature_set", "model"
 
 
 def config_grid(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
-    """Cross product of the axes with a stable hash (as many rows as combinations)."""
+    """Cross product of the axes (as many rows as combinations).
+
+    The hash leaves out ``kind``: a configuration that two stages ask for is evaluated once.
+    """
     grid = spark.range(1)
     for name, values in axes.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     grid = grid.drop("id")
-    return grid.withColumn("config_hash", config_hash(list(axes)))
+    return grid.withColumn("config_hash", config_hash([a for a in axes if a != "kind"]))
 
 
 def promoted(results: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Best ``k`` configurations (per group): robust score, then ROC AUC, then hash."""
-    groups = list(by) or ["kind"]
+    groups = list(by) or ["task"]
     order = [F.col("robust_score").desc_nulls_last(), F.col("roc_auc").desc_nulls_last(), F.col("config_hash")]
     return top_per_group(results, groups, order, k)
 
@@ -64,6 +69,22 @@ class SearchData:
     task: str = "move"
     log_return: str = "log_return_1d"
     valid_days: int = 180
+    prepared: dict = field(default_factory=dict)
+
+    def labels_for(self, vol: int, k: float) -> DataFrame:
+        """Rows labelled for one (window, k), written once per search."""
+        key = ("labels", vol, k)
+        if key not in self.prepared:
+            labelled = L.with_dynamic_label(self.frame, SeriesWindow(), vol, k, self.log_return)
+            self.prepared[key] = stored(labelled, "labelled")
+        return self.prepared[key]
+
+    def folds_for(self, window: int, n_splits: int) -> DataFrame:
+        """Fold table of one (training window, splits); it does not depend on the labels."""
+        key = ("folds", window, n_splits)
+        if key not in self.prepared:
+            self.prepared[key] = SP.fixed(SP.rolling_folds(self.frame, window or None, self.valid_days, n_splits))
+        return self.prepared[key]
 
     @property
     def target(self) -> str:
@@ -72,24 +93,24 @@ class SearchData:
         return "research_move" if self.task == "move" else "research_label"
 
 
-def labelled(data: SearchData, vol: int, k: float) -> DataFrame:
-    return L.with_dynamic_label(data.frame, SeriesWindow(), vol, k, data.log_return)
-
+def run_stage(data: SearchData, store: ResultStore, grid: DataFrame, phase: str, parallelism: int = 3) -> DataFrame:
+    """Evaluate the configurations of a grid that have no stored result; return the grid's results.
 
-def run_stage(data: SearchData, store: ResultStore, grid: DataFrame, phase: str) -> DataFrame:
-    """Evaluate the configurations of a grid that have no stored result; return the grid's results."""
+    Labels and fold tables are prepared once per distinct choice.  Independent
+    configurations run side by side; results are appended as they finish.
+    """
     todo = missing_configs(grid, store.load()).orderBy("config_hash").collect()
-    frames: dict[tuple[int, float], DataFrame] = {}
     for row in todo:
-        key = (row["vol_window"], row["k"])
-        if key not in frames:
-            frames[key] = stored(labelled(data, *key), "labelled")
-        frame = frames[key]
-        folds = SP.rolling_folds(frame, row["train_window_days"] or None, data.valid_days, row["n_splits"])
+        data.labels_for(row["vol_window"], row["k"])
+        data.folds_for(row["train_window_days"], row["n_splits"])
+
+    def one(row):
+        frame = data.labels_for(row["vol_window"], row["k"])
+        folds = data.folds_for(row["train_window_days"], row["n_splits"])
         spec = data.specs[row["model"]].seeded(row["seed"])
-        features = data.groups[row["feature_set"]]
         classes = L.target_classes(data.target)
-        done = classification_cv(frame, data.target, classes, features, spec, folds, row["top_k"])
+        features = data.groups[row["feature_set"]]
+        done = classification_cv(frame, data.target, classes, features, spec, folds, row["top_k"], parallelism=1)
         record = {c: row[c] for c in (*CONFIG, "config_hash")}
         record["phase"] = phase
         if done is None:
@@ -97,7 +118,12 @@ def run_stage(data: SearchData, store: ResultStore, grid: DataFrame, phase: str)
         else:
             record.update(done.summary)
             record["selected_features"] = [done.selected[f] for f in sorted(done.selected)]
-        store.append([record])
+        return record
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        work = inheritable_thread_target(one)
+        for finished in as_completed([pool.submit(work, row) for row in todo]):
+            store.append([finished.result()])
     return store.load().join(grid.select("config_hash"), "config_hash", "left_semi")
 
 
@@ -144,7 +170,8 @@ def coarse_to_fine(data: SearchData, store: ResultStore, plan: SearchPlan) -> di
 
     def stage(name: str, axes: dict, splits: int) -> list:
         grid = config_grid(spark, {**base, **axes, "kind": [f"{plan.name}_{name}"], "n_splits": [splits]})
-        history[name] = run_stage(data, store, grid, "scout" if splits == plan.scout_splits else "confirm")
+        done = run_stage(data, store, grid, "scout" if splits == plan.scout_splits else "confirm")
+        history[name] = done.withColumn("kind", F.lit(f"{plan.name}_{name}"))
         return history[name]
 
     def best(name: str, k: int, column: str) -> list:
@@ -160,7 +187,7 @@ def coarse_to_fine(data: SearchData, store: ResultStore, plan: SearchPlan) -> di
     for i, (vol, k) in enumerate(pairs):
         grid = stage(f"label_{i}", {"vol_window": [vol], "k": [k]}, plan.confirm_splits)
         confirmed = grid if confirmed is None else confirmed.unionByName(grid)
-    history["label"] = confirmed.withColumn("kind", F.lit("label"))
+    history["label"] = confirmed
     base["vol_window"], base["k"] = best("label", 1, "vol_window"), best("label", 1, "k")
 
     stage("family_scout", {"feature_set": list(data.groups)}, plan.scout_splits)
@@ -192,31 +219,29 @@ def lock(history: Mapping[str, DataFrame], path: str) -> DataFrame:
 def task_comparison(data: SearchData, vol: int, k: float, group: str, models: Sequence[str], folds_k: int, window: int, top_k: int) -> DataFrame:
     """The same rows as three classes, direction and move (out of fold)."""
     spark = data.frame.sparkSession
-    frame = stored(labelled(data, vol, k), "labelled")
+    frame = data.labels_for(vol, k)
     rows = []
     for task, target in (("three_class", "research_label"), ("direction_binary", "target_direction"), ("move_binary", "research_move")):
         classes = L.target_classes(target)
         for m in models:
-            folds = SP.rolling_folds(frame, window or None, data.valid_days, folds_k)
+            folds = data.folds_for(window, folds_k)
             done = classification_cv(frame, target, classes, data.groups[group], data.specs[m], folds, top_k)
             if done:
                 s = done.summary
                 rows.append((task, m, s["accuracy"], s["balanced_accuracy"], s["macro_f1"], s["robust_score"], s["oof_rows"]))
-    return spark.createDataFrame(
-        rows, "task string, model string, accuracy double, balanced_accuracy double, macro_f1 double, robust_score double, oof_rows bigint"
+    return small_table(spark, rows, "task string, model string, accuracy double, balanced_accuracy double, macro_f1 double, robust_score double, oof_rows bigint"
     )
 
 
 def regression_comparison(data: SearchData, vol: int, k: float, group: str, specs: Sequence[ModelSpec], folds_k: int, window: int) -> DataFrame:
     spark = data.frame.sparkSession
-    frame = stored(labelled(data, vol, k), "labelled")
+    frame = data.labels_for(vol, k)
     rows = []
     for spec in specs:
-        folds = SP.rolling_folds(frame, window or None, data.valid_days, folds_k)
+        folds = data.folds_for(window, folds_k)
         done = regression_cv(frame, "target_return_1d", "research_threshold", data.groups[group], spec, folds)
         if done:
             s = done.summary
             rows.append((spec.name, s["mae"], s["rmse"], s["pearson"], s["sign_accuracy"], s["fold_pearson_mean"], s["oof_rows"]))
-    return spark.createDataFrame(
-        rows, "model string, mae double, rmse double, pearson double, sign_accuracy double, fold_pearson_mean double, oof_rows bigint"
+    return small_table(spark, rows, "model string, mae double, rmse double, pearson double, sign_accuracy double, fold_pearson_mean double, oof_rows bigint"
     )

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,6 +31,13 @@ def build_session(master: str | None = None, app: str = "chronopanel", extra: di
     return builder.getOrCreate()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of driver-side rows as a local relation (known size, no Python work in tasks)."""
+    fields = T._parse_datatype_string(schema)
+    named = [dict(zip(fields.names, r)) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, schema=to_arrow_schema(fields)), schema=fields)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a local one only where none is named."""
     configured = spark.conf.get(CHECKPOINT_DIR, None)

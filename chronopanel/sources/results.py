@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tabular import exists
+from ..session import small_table
 
 RESULT_SCHEMA = (
     "config_hash string, kind string, phase string, train_window_days int, vol_window int, k double, "
@@ -27,7 +28,7 @@ class ResultStore:
 
     def load(self) -> DataFrame:
         if not exists(self.spark, self.path):
-            return self.spark.createDataFrame([], RESULT_SCHEMA)
+            return small_table(self.spark, [], RESULT_SCHEMA)
         return self.spark.read.schema(RESULT_SCHEMA).parquet(self.path).dropDuplicates(["config_hash"])
 
     def append(self, rows: list[dict]) -> None:
@@ -35,14 +36,14 @@ class ResultStore:
         if rows:
             names = [f.split()[0] for f in RESULT_SCHEMA.split(", ")]
             data = [tuple(r.get(n) for n in names) for r in rows]
-            self.spark.createDataFrame(data, RESULT_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            small_table(self.spark, data, RESULT_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
 
 def save_model(model: PipelineModel, card: Mapping[str, object], path: str) -> None:
     """The fitted stages, and beside them one row that says what they are."""
     model.write().overwrite().save(f"{path}/stages")
     spark = SparkSession.active()
-    row = spark.createDataFrame([(k, str(v)) for k, v in card.items()], "field string, value string")
+    row = small_table(spark, [(k, str(v)) for k, v in card.items()], "field string, value string")
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/card")
 
 
