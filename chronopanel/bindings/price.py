@@ -541,11 +541,11 @@ ta_query(
     BARS,
 )
 ta_query(
-    "atr", "W45", TA.atr, ["atr_14"],
-    "SELECT nb.series_id, date, a.y AS atr_14 FROM nb JOIN a USING (series_id, rn)",
+    "atr", "W45", lambda df, w: TA.atr(df, w).withColumn("ln_atr_14", F.ln("atr_14")), ["ln_atr_14"],
+    "SELECT nb.series_id, date, ln(a.y) AS ln_atr_14 FROM nb JOIN a USING (series_id, rn)",
     BARS + NB + ", tr AS (SELECT series_id, rn, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM nb)"
     + seeded("a", "tr", "tr", 1 / 14, 14),
-    digits=3,
+    digits=6,
 )
 ta_query(
     "bbands", "W46", TA.bbands, ["upper_bb", "middle_bb", "lower_bb"],

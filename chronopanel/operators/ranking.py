@@ -24,7 +24,7 @@ def magnitude_bucket(value: str | Column, per_octave: int = PER_OCTAVE) -> Colum
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, level).otherwise(-level)
 
 
-def hash_bucket(digest: str | Column, digits: int = 3) -> Column:
+def hash_bucket(digest: str | Column, digits: int = 4) -> Column:
     """Bucket of a hex digest by its leading digits."""
     return F.conv(F.substring(col(digest), 1, digits), 16, 10).cast("long")
 

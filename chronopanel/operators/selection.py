@@ -135,7 +135,8 @@ def binned_information(
     usable = edges.filter(
         (F.col("known") >= F.lit(min_coverage) * F.col("rows")) & (F.col("n_distinct") > min_distinct)
     ).select("fold", "feature", "edges", "mid")
-    placed = long.join(usable, ["fold", "feature"]).withColumn("x", F.coalesce("value", "mid"))
+    # folds x features rows: a shuffle on these few keys would gather a feature's rows in one task
+    placed = long.join(F.broadcast(usable), ["fold", "feature"]).withColumn("x", F.coalesce("value", "mid"))
     binned = placed.withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("x"))))
     joint = binned.groupBy("fold", "feature", "bin", F.col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     by_bin = Window.partitionBy("fold", "feature", "bin")

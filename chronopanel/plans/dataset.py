@@ -62,7 +62,7 @@ def peer_matrix(panel: DataFrame, anchor_id: str, peers: Sequence[str]) -> DataF
 def macro_matrix(calendar_rows: DataFrame, sparse: DataFrame, names: Sequence[str], anchor_returns: DataFrame) -> DataFrame:
     """Lagged features of sparse series on the anchor's dates, one column set per series."""
     sparse = series_gate(sparse, ["macro_id"], "close", X.SPARSE_GATE)
-    keyed = calendar_rows.select("date").join(F.broadcast(sparse.select("macro_id").distinct()))
+    keyed = sparse.select("macro_id").distinct().join(F.broadcast(calendar_rows.select("date")))  # one row per day
     rows = keyed.join(sparse.select("macro_id", "date", "close"), ["macro_id", "date"], "left").join(
         anchor_returns.select("date", F.col("r1").alias("anchor_r1")), "date", "left"
     )
@@ -77,7 +77,7 @@ def macro_matrix(calendar_rows: DataFrame, sparse: DataFrame, names: Sequence[st
 def exogenous_matrix(calendar_rows: DataFrame, metrics: DataFrame, names: Sequence[str], gate: DataFrame | None = None) -> DataFrame:
     """Lagged features of exogenous metrics on the anchor's dates."""
     metrics = series_gate(metrics, ["metric"], "value", X.SPARSE_GATE)
-    keyed = calendar_rows.select("date").join(F.broadcast(metrics.select("metric").distinct()))
+    keyed = metrics.select("metric").distinct().join(F.broadcast(calendar_rows.select("date")))  # one row per day
     rows = keyed.join(metrics.select("metric", "date", "value"), ["metric", "date"], "left")
     feats = X.exogenous(rows, SeriesWindow(("metric",), "date"), "value", gate)
     cols = ["lag1", "diff_1d", "diff_7d", "z30", "z90", "ma7_vs_ma30"] + (
