@@ -214,13 +214,13 @@ def _(spark, sf_dir):
     "collection_inventory", "S16",
     out(
         """SELECT 'lineitem' AS source, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders
-           UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'glassnode', 0""",
+           UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'optional_metrics', 0""",
         "source", "", (), "rows",
     ),
 )
 def _(spark, sf_dir):
     t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "events")}
-    return inventory.collection_inventory({**t, "glassnode": None})
+    return inventory.collection_inventory({**t, "optional_metrics": None})
 
 
 @query(
