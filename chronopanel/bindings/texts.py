@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_post
 from ..operators import fingerprints as FP
 from ..operators import sentiment as ST
+from ..session import stored
 from .base import out, query, table
 
 # Words of the supplied invented prose with made-up polarities, beside the domain list.
@@ -88,7 +89,8 @@ DAILY = [
     ),
 )
 def _(spark, sf_dir):
-    return ST.daily_sentiment(scored_posts(spark, sf_dir)).select("date", "x_post_count", *DAILY)
+    scored = scored_posts(spark, sf_dir).select("date", "compound", "engagement", "sentiment_weight")
+    return ST.daily_sentiment(stored(scored, "scored-posts")).select("date", "x_post_count", *DAILY)
 
 
 @query("table_fingerprints", "R01 R03")
