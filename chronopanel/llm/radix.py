@@ -23,10 +23,11 @@ def normalised(text):
 def _refine(active: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of at least two rows with equal keys, each with a number of its own, its size and smallest document id.
 
-    The written table fixes the numbers and lets the join back split a hot key.
+    The written table fixes the numbers and lets the join back split a hot key.  It is as large as the repeated texts, so it
+    is merged by its keys at every size and never sent whole to all executors.
     """
     groups = active.groupBy(*keys).agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).filter("n > 1")
-    return stored(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
+    return stored(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups").hint("merge")
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
