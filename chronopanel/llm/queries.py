@@ -109,7 +109,7 @@ def op6_quantised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
     AND list_cosine_similarity(a.e, b.e) >= 0.93),
 reach AS (SELECT vec_id AS node, vec_id AS far FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.far),
