@@ -13,6 +13,8 @@ from ..session import stored
 
 #: Bytes of text that one task holds at a time; a longer single text forms a slice of its own.
 SLICE_BYTES = 24 << 20
+#: Largest table that numbers values by their place; larger ranges of values are sorted.
+PLACES = 1 << 26
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -41,6 +43,19 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         yield keys, texts
 
 
+def numbered(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``values`` below ``top`` in order, and the number of each value among them."""
+    if top > PLACES:
+        distinct, numbers = np.unique(values, return_inverse=True)
+        return distinct, numbers.astype(np.int32)
+    seen = np.zeros(top, bool)
+    seen[values] = True
+    distinct = np.flatnonzero(seen)
+    place = np.empty(top, np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return distinct, place[values]
+
+
 def spanning(size: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (member, smallest member) with the same components as the links u-v among ``size`` nodes."""
     label = np.arange(size)

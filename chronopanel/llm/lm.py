@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import slices
+from .common import numbered, slices
 
 #: Characters of a gram: a token with the three before it.
 ORDER = 4
@@ -25,25 +25,23 @@ class Grams:
 
     def __init__(self, texts: list[str]):
         pad = BEFORE * (ORDER - 1)
-        points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        points = np.frombuffer("".join([pad + t for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        seen = np.zeros(0x110000, bool)
-        seen[points] = True
-        letters = np.flatnonzero(seen)
-        number = np.zeros(0x110000, np.int64)
-        number[letters] = np.arange(len(letters))
-        ids = number[points]
+        letters, ids = numbered(points, 0x110000)
+        real = np.ones(len(points), bool)
         starts = np.cumsum(self.sizes + ORDER - 1) - self.sizes
-        at = np.repeat(starts - np.cumsum(self.sizes) + self.sizes, self.sizes) + np.arange(self.sizes.sum())
-        # two characters first, so that numbers stay small for any alphabet
-        two = ids[:-1] * len(letters) + ids[1:] if len(ids) else ids
-        if len(letters) ** 2 >= 1 << 31:
-            two = np.unique(two, return_inverse=True)[1]
-        code = two[at - 3] * (int(two.max(initial=0)) + 1) + two[at - 1]
-        _, first, self.of = np.unique(code, return_index=True, return_inverse=True)
-        place = at[first]
-        four = points[place[:, None] + np.arange(1 - ORDER, 1)] if len(place) else np.empty((0, ORDER), "<u4")
-        text = four.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        for k in range(1, ORDER):
+            real[starts - k] = False
+        del points
+        # two characters first, then two of those: numbers stay small for any alphabet
+        size = max(1, len(letters))
+        pairs, two = numbered(ids[:-1].astype(np.int64) * size + ids[1:], size * size)
+        del ids
+        many = max(1, len(pairs))
+        four = two[:-2].astype(np.int64) * many + two[2:]
+        codes, self.of = numbered(four[real[ORDER - 1 :]], many * many)
+        parts = np.stack([pairs[codes // many], pairs[codes % many]], axis=1) if len(codes) else np.empty((0, 2), np.int64)
+        text = letters[np.stack([parts // size, parts % size], axis=2).reshape(-1)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         self.grams = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
 
 
