@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import SLICE_BYTES, slices
+from .common import numbered, slices
 from .units import Numbers, Ragged
 
 #: N-grams in a profile, and of a document that are compared.
@@ -21,6 +21,8 @@ PROFILE = 300
 UNKNOWN = "und"
 _WORDS = regex.compile(r"\p{L}+")
 _BITS = 21
+#: Bytes of text whose grams a task counts at a time.
+SLICE_BYTES = 12 << 20
 
 
 class Grams:
@@ -39,27 +41,29 @@ class Grams:
             for word in _WORDS.findall(unit.lower()):
                 words.append(word)
                 owner.append(n)
-        points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4")
+        letters, ids = numbered(points, 0x110000)
         blank = points == 32
-        # a blank belongs to the word behind it; the last one to none
-        at = np.append(np.array(owner, np.int64), -1)[np.minimum(np.cumsum(blank) - 1, len(owner))]
-        one = points << 2 * _BITS
-        two = one[:-1] | points[1:] << _BITS
-        three = two[:-1] | points[2:]
-        keep1, keep3 = ~blank, ~blank[1:-1]
-        keep2 = ~(blank[:-1] & blank[1:])
-        codes = np.concatenate([one[keep1], two[keep2], three[keep3]])
-        owners = np.concatenate([at[keep1], at[:-1][keep2], at[:-2][keep3]])
-        order = np.argsort(owners, kind="stable")
-        self.codes, flat = np.unique(codes[order], return_inverse=True)
-        self.units = Ragged(flat, np.bincount(owners[order], minlength=len(units)) if len(owners) else np.zeros(len(units), np.int64))
-        self.of_unit = np.repeat(np.arange(len(units)), self.units.lengths)
+        base = len(letters) + 1
+        # three grams begin at every position but the last two; zero stands for no letter
+        ids = np.concatenate([ids.astype(np.int64) + 1, [0, 0]])
+        first = ids[:-2] * base * base
+        begun = np.stack([first, first + ids[1:-1] * base, first + ids[1:-1] * base + ids[2:]], axis=1)
+        behind = np.append(blank[1:], True)
+        room = np.arange(len(points))
+        keep = np.stack([~blank, ~(blank & behind) & (room < len(points) - 1), ~behind & (room < len(points) - 2)], axis=1)
+        distinct, flat = numbered(begun[keep], base**3)
+        parts = np.stack([distinct // base**2, distinct // base % base, distinct % base])
+        points_of = np.concatenate([[0], letters])[parts]
+        self.codes = points_of[0] << 2 * _BITS | points_of[1] << _BITS | points_of[2]
+        # a blank belongs to the word behind it
+        unit_at = np.append(np.array(owner, np.int64), 0)[np.minimum(np.cumsum(blank) - 1, len(owner))]
+        self.units = Ragged(flat, np.bincount(unit_at, weights=keep.sum(axis=1), minlength=max(1, len(units))).astype(np.int64))
+        self.of_unit = np.repeat(np.arange(len(self.units.lengths)), self.units.lengths)
 
     def totals(self, docs: list[int]) -> np.ndarray:
         """Counts of all grams in the chosen documents together."""
-        seen = np.zeros(len(self.units.lengths), np.int64)
-        for d in docs:
-            seen += np.bincount(self.docs[d], minlength=len(seen))
+        seen = np.bincount(np.concatenate([self.docs[d] for d in docs]), minlength=len(self.units.lengths))
         return np.bincount(self.units.flat, weights=seen[self.of_unit], minlength=len(self.codes)).astype(np.int64)
 
     def top(self, doc: int, most: int) -> np.ndarray:
