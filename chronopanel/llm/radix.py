@@ -87,7 +87,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     many = stored(many, "repeated-ids")
     same = docs[id_col].eqNullSafe(F.col("_many"))
     single = docs.join(many, same, "left_anti")
-    single = single.join(kept.select("_id"), single[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    single = single.join(kept.select("_id").hint("merge"), single[id_col].eqNullSafe(F.col("_id")), "left_semi")
     several = docs.join(many, same, "left_semi").withColumn("_digest", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     several = several.join(kept, several[id_col].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
     return single.union(several.dropDuplicates([id_col, "_digest"]).drop("_digest"))

@@ -155,11 +155,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
     named = classes.join(nodes, c("fp") == c("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     table = stored(named.join(lowest, "component").select(c("fp").alias("of"), "component_id"), "components")
-    return prints.join(table, c("fp") == c("of")).select("doc_id", "fp", "component_id")
+    return prints.join(table.hint("merge"), c("fp") == c("of")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their component, with all their columns; rows that share an id stay or go together."""
     named = near_duplicates(docs, shingle, radius, id_col, text_col)
     kept = stored(named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "representatives")
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
