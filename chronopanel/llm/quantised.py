@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
 from .common import components, spanning, width
@@ -93,6 +94,8 @@ def links(classes: DataFrame, index: Index, dims: int, cosine: float) -> DataFra
     spark, c, n = classes.sparkSession, F.col, width(classes.sparkSession)
     reach = math.sqrt(2 - 2 * cosine) + 1e-9
     label = classes.schema["label"].dataType.simpleString()
+    # tiles hold the components as they came; arithmetic is in double precision
+    kind = "<f4" if isinstance(classes.schema["vector"].dataType.elementType, T.FloatType) else "<f8"
 
     def encode(batches):
         for b in batches:
@@ -101,7 +104,7 @@ def links(classes: DataFrame, index: Index, dims: int, cosine: float) -> DataFra
             far = np.linalg.norm(unit(raw) - index.centres[cell], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), pa.array(cell.astype(np.int32)), b.column("key"), b.column("copies"), pa.array(far), pa.array(error),
-                 pa.array([x.tobytes() for x in codes], pa.binary()), pa.array([x.tobytes() for x in raw], pa.binary())],
+                 pa.array([x.tobytes() for x in codes], pa.binary()), pa.array([x.tobytes() for x in raw.astype(kind)], pa.binary())],
                 names=["label", "cell", "key", "copies", "far", "error", "code", "raw"],
             )
 
@@ -117,17 +120,17 @@ def links(classes: DataFrame, index: Index, dims: int, cosine: float) -> DataFra
 
     def tile(batches):
         for b in batches:
-            cell, kind = b.column("cell").to_numpy(), b.column("label").to_pylist()
-            ends = [i for i in range(1, len(cell)) if cell[i] != cell[i - 1] or kind[i] != kind[i - 1]]
+            cell, name = b.column("cell").to_numpy(), b.column("label").to_pylist()
+            ends = [i for i in range(1, len(cell)) if cell[i] != cell[i - 1] or name[i] != name[i - 1]]
             for s, e in zip([0, *ends], [*ends, len(cell)]):
                 for i in range(s, e, TILE):
                     part = b.slice(i, min(TILE, e - i))
                     raw = b"".join(part.column("raw").to_pylist())
-                    x = unit(np.frombuffer(raw).reshape(-1, dims))
+                    x = unit(np.frombuffer(raw, kind).reshape(-1, dims))
                     probes = np.flatnonzero(index.to_centres(x).min(axis=0) <= radius + reach)
                     as_bytes = lambda name: part.column(name).to_numpy().tobytes()
                     yield {
-                        "label": kind[i], "cell": int(cell[i]), "tile": part.column("key")[0].as_py(), "radius": float(part.column("far").to_numpy().max()),
+                        "label": name[i], "cell": int(cell[i]), "tile": part.column("key")[0].as_py(), "radius": float(part.column("far").to_numpy().max()),
                         "keys": as_bytes("key"), "copies": as_bytes("copies"), "codes": b"".join(part.column("code").to_pylist()),
                         "error": as_bytes("error"), "vectors": raw, "probes": probes.tolist(),
                     }
@@ -153,7 +156,7 @@ def links(classes: DataFrame, index: Index, dims: int, cosine: float) -> DataFra
         for b in batches:
             for row in b.to_pylist():
                 q_key, key = np.frombuffer(row["q_keys"], np.int64), np.frombuffer(row["keys"], np.int64)
-                q = unit(np.frombuffer(row["q_vectors"]).reshape(-1, dims))
+                q = unit(np.frombuffer(row["q_vectors"], kind).reshape(-1, dims))
                 asks = np.flatnonzero(np.linalg.norm(q - index.centres[row["cell"]], axis=1) <= row["radius"] + reach)
                 if not len(asks):
                     continue
@@ -161,7 +164,7 @@ def links(classes: DataFrame, index: Index, dims: int, cosine: float) -> DataFra
                 far = index.asymmetric(q[asks], row["cell"], codes)
                 i, j = np.nonzero(far - np.frombuffer(row["error"])[None, :] <= reach)
                 i = asks[i]
-                x = unit(np.frombuffer(row["vectors"]).reshape(-1, dims))
+                x = unit(np.frombuffer(row["vectors"], kind).reshape(-1, dims))
                 good = (q_key[i] != key[j]) & (np.einsum("ij,ij->i", q[i], x[j]) >= cosine)
                 i, j = i[good], j[good]
                 if not len(i):
@@ -199,9 +202,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         .withColumn("key", F.monotonically_increasing_id()),
         "classes",
     )
-    size = classes.count()
+    size, labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
     sample = classes.orderBy(F.xxhash64("vector"), "key").select("vector").limit(SAMPLE).collect()
-    index = Index(unit(np.array([r.vector for r in sample], np.float64)), min(MOST_LISTS, max(1, math.isqrt(size) // 2)))
+    index = Index(unit(np.array([r.vector for r in sample], np.float64)), min(MOST_LISTS, max(1, math.isqrt(size // labels) // 4)))
     found = stored(links(classes, index, common.d, cosine), "found")
     counts = found.filter("v IS NULL").groupBy(c("u").alias("of")).agg(F.sum("n").alias("n"))
     nodes = components(found.filter("v IS NOT NULL").select("u", "v"))
