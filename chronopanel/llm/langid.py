@@ -22,7 +22,7 @@ UNKNOWN = "und"
 _WORDS = regex.compile(r"\p{L}+")
 _BITS = 21
 #: Bytes of text whose grams a task counts at a time.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 class Grams:
