@@ -115,14 +115,22 @@ def binned_information(
     bins: int = 10,
     min_coverage: float = 0.60,
     min_distinct: int = 2,
+    target_bins: int | None = None,
 ) -> DataFrame:
     """Mutual information of each feature with a class target, per fold, on training rows.
 
+    A numeric target is first cut into ``target_bins`` quantiles of the fold's own training rows.
+
     Values fall into train-quantile bins.  Bin edges are ``folds x features``
     arrays of ``bins - 1`` numbers.  A missing value joins the bin of the
     training median, as median imputation would place it.
     """
     train = assign(rows.select("date", "target_end_date", target, *features), folds).filter(F.col("role") == "train")
+    if target_bins:
+        steps = F.array(*[F.lit(i / target_bins) for i in range(1, target_bins)])
+        quantiles = train.groupBy("fold").agg(F.percentile_approx(target, steps, F.lit(10000)).alias("__q"))
+        binned = F.size(F.filter("__q", lambda e: e <= F.col(target)))
+        train = train.join(F.broadcast(quantiles), "fold").withColumn(target, F.when(F.col(target).isNotNull(), binned)).drop("__q")
     long = long_features(train, ["fold", target], features)
     cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     edges = long.groupBy("fold", "feature").agg(
@@ -153,15 +161,6 @@ def binned_information(
     return cells.groupBy("fold", "feature").agg(F.sum(term).alias("mi"))
 
 
-def binned_return(rows: DataFrame, target: str, bins: int = 10) -> DataFrame:
-    """A numeric target cut into its own deciles so the same information measure serves regression."""
-    cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = rows.agg(F.percentile_approx(target, cuts, F.lit(10000)).alias("__e"))
-    return rows.join(F.broadcast(edges)).withColumn(
-        "target_bin", F.size(F.filter("__e", lambda e: e <= F.col(target)))
-    ).drop("__e")
-
-
 def train_variance(rows: DataFrame, folds: DataFrame, features: Sequence[str]) -> DataFrame:
     train = assign(rows.select("date", "target_end_date", *features), folds).filter(F.col("role") == "train")
     return long_features(train, ["fold"], features).groupBy("fold", "feature").agg(F.var_pop("value").alias("variance"))

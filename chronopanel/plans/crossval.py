@@ -49,7 +49,8 @@ def pick_features(
     elif how == "variance":
         chosen = SEL.top_features(SEL.train_variance(df, folds, features), "variance", top_k)
     else:
-        chosen = SEL.top_features(SEL.binned_information(df, folds, features, target), "mi", top_k)
+        bins = 10 if how == "regression" else None
+        chosen = SEL.top_features(SEL.binned_information(df, folds, features, target, target_bins=bins), "mi", top_k)
     out: dict[int, list[str]] = {}
     for r in chosen.select("fold", "feature").collect():
         out.setdefault(r["fold"], []).append(r["feature"])
@@ -143,8 +144,7 @@ def regression_cv(
     parallelism: int = 2,
 ) -> Evaluation | None:
     folds = SP.fixed(folds)
-    binned = SEL.binned_return(df, target) if len(features) > top_k else df
-    selected = pick_features(binned, folds, features, "target_bin" if len(features) > top_k else target, top_k)
+    selected = pick_features(df, folds, features, target, top_k, "regression")
 
     def one(fold):
         chosen = selected.get(fold["fold"], [])

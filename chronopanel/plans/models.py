@@ -36,6 +36,8 @@ class ModelSpec:
     step: float = 0.05
     c: float = 0.3
     flags: bool = True
+    balanced: bool = True
+    subsample: float = 1.0
     seed: int = SEED
 
     def seeded(self, seed: int) -> "ModelSpec":
@@ -52,8 +54,8 @@ CLASSIFIERS = {
         ModelSpec("logistic", "logistic", size=400, c=0.3),
         ModelSpec("random_forest", "forest", size=450, depth=9, min_leaf=6),
         ModelSpec("extra_trees", "extra", size=550, depth=10, min_leaf=5),
-        ModelSpec("hist_gradient_boosting", "boost", size=300, depth=4, step=0.04, flags=False),
-        ModelSpec("lightgbm", "boost", size=500, depth=4, min_leaf=25, step=0.025),
+        ModelSpec("hist_gradient_boosting", "boost", size=300, depth=4, step=0.04, flags=False, balanced=False),
+        ModelSpec("lightgbm", "boost", size=500, depth=4, min_leaf=25, step=0.025, subsample=0.85),
         ModelSpec("catboost", "boost", size=450, depth=6, step=0.035),
     )
 }
@@ -63,7 +65,7 @@ REGRESSORS = {
         ModelSpec("random_forest_reg", "forest_reg", size=500, depth=9, min_leaf=6),
         ModelSpec("extra_trees_reg", "extra_reg", size=600, depth=10, min_leaf=5),
         ModelSpec("hist_gradient_reg", "boost_reg", size=300, depth=4, step=0.04, flags=False),
-        ModelSpec("lightgbm_reg", "boost_reg", size=500, depth=4, min_leaf=25, step=0.025),
+        ModelSpec("lightgbm_reg", "boost_reg", size=500, depth=4, min_leaf=25, step=0.025, subsample=0.85),
         ModelSpec("catboost_reg", "boost_reg", size=450, depth=6, step=0.035),
     )
 }
@@ -114,16 +116,16 @@ def _estimator(spec: ModelSpec, rows: int):
             numTrees=spec.size, weightCol="weight", featureSubsetStrategy="sqrt", bootstrap=spec.family == "forest", **tree, **common
         )
     if spec.family == "boost":
-        return GBTClassifier(maxIter=spec.size, stepSize=spec.step, weightCol="weight", subsamplingRate=0.85, **tree, **common)
+        return GBTClassifier(maxIter=spec.size, stepSize=spec.step, weightCol="weight", subsamplingRate=spec.subsample, **tree, **common)
     if spec.family in ("forest_reg", "extra_reg"):
         return RandomForestRegressor(
             numTrees=spec.size, featureSubsetStrategy="all", bootstrap=spec.family == "forest_reg", **tree, **common
         )
-    return GBTRegressor(maxIter=spec.size, stepSize=spec.step, subsamplingRate=0.85, **tree, **common)
+    return GBTRegressor(maxIter=spec.size, stepSize=spec.step, subsamplingRate=spec.subsample, **tree, **common)
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str], target: str, spec: ModelSpec) -> Fitted | None:
-    """Fit on training rows with balanced weights; None when only one class occurs."""
+    """Fit on training rows, with balanced weights where the learner asks for them; None when only one class occurs."""
     known = train.select(*features, F.col(target).cast("int").alias("__y")).filter(F.col("__y").isNotNull())
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}  # one row per class
     have = sorted(counts)
@@ -132,7 +134,7 @@ def fit_classifier(train: DataFrame, features: Sequence[str], target: str, spec:
     prepare = preparation(known, features, spec.flags, spec.family == "logistic")
     index = F.array_position(F.array(*[F.lit(c) for c in have]), F.col("__y")).cast("double") - 1
     ready = prepare.transform(known).select("features_vector", "__y", index.alias("label_index"))
-    ready = with_class_weights(ready, "__y").cache()
+    ready = (with_class_weights(ready, "__y") if spec.balanced else ready.withColumn("weight", F.lit(1.0))).cache()
     rows = sum(counts.values())
     try:
         if spec.family == "boost" and len(have) > 2:

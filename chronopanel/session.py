@@ -41,10 +41,12 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is named."""
+    """Shared folder named by the cluster.  A local one is made only for a local master, where no executor is elsewhere."""
     configured = spark.conf.get(CHECKPOINT_DIR, None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"name a folder that all executors share in {CHECKPOINT_DIR}")
     own = getattr(spark, "_chronopanel_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="chronopanel-")

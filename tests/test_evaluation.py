@@ -152,3 +152,25 @@ def test_fingerprint_ignores_order(spark):
     a = FP.fingerprint(df).first()["digest"]
     assert a == FP.fingerprint(df.repartition(7).orderBy(F.rand(1))).first()["digest"]
     assert a != FP.fingerprint(df.filter("id < 999").unionByName(df.filter("id = 5"))).first()["digest"]
+
+
+def test_regression_selection_ignores_validation_targets(spark):
+    """Target quantiles come from a fold's training rows: other validation targets choose the same features."""
+    import datetime as dt
+    import random
+
+    from chronopanel.plans.crossval import pick_features
+
+    r = random.Random(1)
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    rows = [("s", day(i), day(i + 1), *(r.random() for _ in range(6))) for i in range(400)]
+    rows = [(*row, row[3] + 0.1 * r.random()) for row in rows]
+    names = [f"f{i}" for i in range(6)]
+    schema = "series_id string, date date, target_end_date date, " + ", ".join(f"{n} double" for n in names) + ", y double"
+    df = spark.createDataFrame(rows, schema)
+    folds = SP.fixed(SP.expanding_folds(df, 2))
+    first = {f["fold"]: f for f in folds.collect()}
+    start = min(v for k, v in first[max(first)].asDict().items() if k.startswith("valid") and isinstance(v, dt.date))
+    other = df.withColumn("y", F.when(F.col("date") >= F.lit(start), F.lit(1e6) - F.col("y")).otherwise(F.col("y")))
+    chosen = pick_features(df, folds, names, "y", 2, "regression")
+    assert chosen == pick_features(other, folds, names, "y", 2, "regression") and all("f0" in v for v in chosen.values())
