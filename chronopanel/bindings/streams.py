@@ -78,23 +78,34 @@ def _(spark, sf_dir):
     return SK.review_scores(spark, path)
 
 
-IND = f"""b AS ({EVENT_BARS}), nb AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY hour) AS rn, lag(close) OVER (PARTITION BY series_id ORDER BY hour) AS pc FROM b),
-e AS (SELECT series_id, rn, close AS y FROM nb WHERE rn = 1 UNION ALL SELECT q.series_id, q.rn, e.y * (1 - {span_alpha(20)!r}) + {span_alpha(20)!r} * q.close
+IND = f"""b AS ({EVENT_BARS}), nb AS (SELECT *, row_number() OVER w AS rn, lag(close) OVER w AS pc, close - lag(close) OVER w AS step FROM b WINDOW w AS (PARTITION BY series_id ORDER BY hour)),
+e AS (SELECT series_id, rn, close AS y, CAST(0 AS DOUBLE) AS gain, CAST(0 AS DOUBLE) AS loss FROM nb WHERE rn = 1
+  UNION ALL SELECT q.series_id, q.rn, e.y * (1 - {span_alpha(20)!r}) + {span_alpha(20)!r} * q.close,
+    CASE WHEN q.rn <= 15 THEN e.gain + greatest(q.step, 0) / 14 ELSE e.gain + (greatest(q.step, 0) - e.gain) / 14 END,
+    CASE WHEN q.rn <= 15 THEN e.loss + greatest(-q.step, 0) / 14 ELSE e.loss + (greatest(-q.step, 0) - e.loss) / 14 END
   FROM e JOIN nb q ON q.series_id = e.series_id AND q.rn = e.rn + 1)"""
+#: Days of bars that land together, and how late a bar may come: odd hours land one slice after their own.
+SLICE_DAYS, LATE_DAYS = 3, 5
 
 
 @query(
     "streaming_indicators", "T04",
     out(
-        """SELECT nb.series_id, nb.hour AS period, nb.close, e.y AS ema, sum(coalesce(sign(nb.close - pc), 0) * volume) OVER (PARTITION BY nb.series_id ORDER BY hour) AS obv
-           FROM nb JOIN e USING (series_id, rn)""",
-        "series_id", "period", "close ema obv", ctes=IND,
+        f"""SELECT * FROM (SELECT nb.series_id, nb.hour AS period, nb.close, e.y AS ema, sum(coalesce(sign(nb.close - pc), 0) * volume) OVER (PARTITION BY nb.series_id ORDER BY hour) AS obv,
+             CASE WHEN rn > 14 AND e.gain + e.loss > 0 THEN 100 * e.gain / (e.gain + e.loss) END AS rsi
+           FROM nb JOIN e USING (series_id, rn)) WHERE period < (SELECT max(hour) - INTERVAL {LATE_DAYS} DAY FROM b)""",
+        "series_id", "period", "close ema obv rsi", ctes=IND,
     ),
 )
 def _(spark, sf_dir):
-    """Hourly bars as a stream of files (one file, hence one micro-batch, per day)."""
+    """Hourly bars as files that land one after another, out of order, one micro-batch each.  Bars that late ones may still
+    precede at the end are not given out."""
     b = event_bars(spark, sf_dir).select("series_id", F.col("hour").cast("timestamp").alias("period"), "close", F.col("volume").cast("double").alias("volume"))
+    late = F.expr("hour(period) % 2")
+    first = F.lit(b.agg(F.min("period").alias("at")).first()["at"])
+    b = stored(b.withColumn("slice", F.floor(F.datediff("period", first) / SLICE_DAYS) + late), "bars-sliced")
     landed = scratch_path(spark, "bars")
-    b.coalesce(1).write.parquet(landed)
-    stream = spark.readStream.schema(b.schema).parquet(landed)
-    return SK.drained(SS.streaming_indicators(stream), "indicators").select("series_id", "period", "close", "ema", "obv")
+    for k in range(b.agg(F.coalesce(F.max("slice"), F.lit(0))).first()[0] + 1):
+        b.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(b.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    return SK.drained(SS.streaming_indicators(stream, lateness=f"{LATE_DAYS} days"), "indicators").select("series_id", "period", "close", "ema", "obv", "rsi")

@@ -2,7 +2,8 @@
 
 Input is a stream of bars (one row per series and period, as ``streaming_bars``
 writes them), never raw ticks: a hot series is already reduced before it
-reaches its state, which is a handful of numbers.
+reaches its state, which is a handful of numbers and the bars of the last
+stretch in which late ones may still come.
 """
 
 from __future__ import annotations
@@ -14,32 +15,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "series_id string, period timestamp, close double, ema double, obv double, rsi double"
-STATE = "ema double, obv double, close double, gain double, loss double, seen bigint, gap bigint, last timestamp"
+STATE = (
+    "ema double, obv double, close double, gain double, loss double, seen bigint, gap bigint, last bigint, "
+    "periods array<bigint>, closes array<double>, volumes array<double>"
+)
+START = (None, 0.0, None, 0.0, 0.0, 0, 0, None, [], [], [])
 
 
 def streaming_indicators(bars: DataFrame, span: int = 20, n: int = 14, lateness: str = "0 seconds") -> DataFrame:
     """Exponential mean, on-balance volume and Wilder RSI of each bar, in period order.
 
-    A bar without a close repeats the mean and lets the older weight decay.
-    Bars behind the watermark, or not after the last bar of their series, are dropped.
+    Bars may come in any order within ``lateness``: a series holds those that the watermark has not passed, and gives them
+    out in order once it has.  A bar without a close repeats the mean and lets the older weight decay.  Bars behind the
+    watermark are dropped and counted in the query's progress (``numRowsDroppedByWatermark``); of bars with one period
+    that it passes together, one counts.
     """
     alpha = 2.0 / (span + 1.0)
 
     def update(key, frames, state: GroupState):
-        parts = [f for f in frames]
-        if not parts:
-            return
-        bars_now = pd.concat(parts).sort_values("period")
-        if state.exists:
-            ema, obv, prev, gain, loss, seen, gap, last = state.get
-        else:
-            ema, obv, prev, gain, loss, seen, gap, last = None, 0.0, None, 0.0, 0.0, 0, 0, None
+        ema, obv, prev, gain, loss, seen, gap, last, periods, closes, volumes = state.get if state.exists else START
+        waiting = [pd.DataFrame({"period": periods, "close": closes, "volume": volumes})] if periods else []
+        if not state.hasTimedOut:
+            for f in frames:
+                part = f[["close", "volume"]].astype(float)
+                waiting.append(part.assign(period=f["period"].astype("datetime64[us]").astype("int64")))
+        passed = state.getCurrentWatermarkMs() * 1000
+        held = pd.concat(waiting).sort_values("period", kind="stable") if waiting else pd.DataFrame({"period": [], "close": [], "volume": []})
+        ready, later = held[held["period"] < passed], held[held["period"] >= passed]
         rows = []
-        for period, close, volume in zip(bars_now["period"], bars_now["close"], bars_now["volume"]):
-            if last is not None and period <= pd.Timestamp(last):
+        for period, close, volume in zip(ready["period"].tolist(), ready["close"].tolist(), ready["volume"].tolist()):
+            if last is not None and period <= last:
                 continue
-            last = period.to_pydatetime()
-            if close is None or math.isnan(close):
+            last = period
+            if math.isnan(close):
                 gap += 1
                 rows.append((key[0], period, None, ema, obv, None))
                 continue
@@ -61,12 +69,16 @@ def streaming_indicators(bars: DataFrame, span: int = 20, n: int = 14, lateness:
             prev = close
             rsi = 100.0 * gain / (gain + loss) if seen >= n and gain + loss else None
             rows.append((key[0], period, close, ema, obv, rsi))
-        state.update((ema, obv, prev, gain, loss, seen, gap, last))
-        yield pd.DataFrame(rows, columns=["series_id", "period", "close", "ema", "obv", "rsi"])
+        state.update((ema, obv, prev, gain, loss, seen, gap, last, *(later[c].tolist() for c in ("period", "close", "volume"))))
+        if len(later):
+            state.setTimeoutTimestamp(max(int(later["period"].iloc[0]) // 1000, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            done = pd.DataFrame(rows, columns=["series_id", "period", "close", "ema", "obv", "rsi"])
+            yield done.assign(period=pd.to_datetime(done["period"], unit="us"))
 
     return (
         bars.select("series_id", "period", "close", "volume")
         .withWatermark("period", lateness)
         .groupBy("series_id")
-        .applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
