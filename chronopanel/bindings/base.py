@@ -23,6 +23,11 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+#: The supplied tables.
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations",
+)
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:

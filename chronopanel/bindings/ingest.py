@@ -15,7 +15,7 @@ from ..operators import selection as SEL
 from ..session import scratch_path
 from ..sources import inventory, payloads, posts, tabular
 from .base import (
-    ANCHOR, BARS, BASE, METRICS, PEERS, S, SPARSE, line_bars, out, query, sparse_closes, status_metrics, table,
+    ANCHOR, BARS, BASE, METRICS, PEERS, S, SPARSE, TABLES, line_bars, out, query, sparse_closes, status_metrics, table,
 )
 
 W = SeriesWindow()
@@ -213,13 +213,12 @@ def _(spark, sf_dir):
 @query(
     "collection_inventory", "S16",
     out(
-        """SELECT 'lineitem' AS source, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders
-           UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'optional_metrics', 0""",
+        "SELECT 'optional_metrics' AS source, 0 AS rows" + "".join(f" UNION ALL SELECT '{n}', count(*) FROM {n}" for n in TABLES),
         "source", "", (), "rows",
     ),
 )
 def _(spark, sf_dir):
-    t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "events")}
+    t = {n: table(spark, sf_dir, n) for n in TABLES}
     return inventory.collection_inventory({**t, "optional_metrics": None})
 
 
@@ -501,16 +500,16 @@ def _(spark, sf_dir):
 @query(
     "math_functions", "F04 F05",
     out(
-        """SELECT event_id, ln(value) AS l, ln(1 + value) AS l1, sqrt(value) AS s, abs(value - 50) AS a, sign(value - 50) AS g,
-           greatest(value - 50, 0) AS up, least(value - 50, 0) AS down, power(value, 2) AS sq FROM events WHERE value > 0""",
+        """SELECT event_id, CASE WHEN value > 50 THEN ln(value - 50) END AS l, CASE WHEN value > 49 THEN ln(1 + (value - 50)) END AS l1, sqrt(abs(value)) AS s, abs(value - 50) AS a, sign(value - 50) AS g,
+           greatest(value - 50, 0) AS up, least(value - 50, 0) AS down, power(value, 2) AS sq FROM events""",
         "", "", "l l1 s a g up down sq", "event_id", digits=5,
     ),
     digits=5,
 )
 def _(spark, sf_dir):
     v = F.col("value")
-    return table(spark, sf_dir, "events", "event_id", "value").filter(v > 0).select(
-        "event_id", N.ln_positive(v).alias("l"), N.log1p_safe(v).alias("l1"), F.sqrt(v).alias("s"), F.abs(v - 50).alias("a"),
+    return table(spark, sf_dir, "events", "event_id", "value").select(
+        "event_id", N.ln_positive(v - 50).alias("l"), N.log1p_safe(v - 50).alias("l1"), F.sqrt(F.abs(v)).alias("s"), F.abs(v - 50).alias("a"),
         F.signum(v - 50).alias("g"), N.clip_low(v - 50, 0.0).alias("up"), N.clip_high(v - 50, 0.0).alias("down"), F.pow(v, 2).alias("sq"),
     )
 

@@ -6,6 +6,9 @@ tests.  Forest sizes are small here; the catalogued sizes are in ``plans.models`
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import splits as SP
@@ -27,15 +30,18 @@ QUICK = {n: s.sized(4 if s.family == "boost" else 8, 4) if s.family != "logistic
 QUICK_REG = {n: s.sized(4 if s.family == "boost_reg" else 8, 4) for n, s in REGRESSORS.items()}
 
 
-def model_rows(spark, sf_dir):
-    """Seven features, targets and the log return of every labelled row, stored once."""
+def model_rows(spark, sf_dir, regimes=False):
+    """Seven features, targets and the log return of every labelled row, stored once; the columns of regimes if asked for."""
     df = P.base_columns(line_bars(spark, sf_dir), W)
     df = P.candles(P.returns(df, W, (1, 7)))
     df = P.rolling_levels(P.rolling_moments(df, W, (7, 21, 30)), W, (14,))
     df = L.standard_labels(L.forward_target(df, W), W)
+    context = ["vol_regime_pctile", "ema_gap_90d"] if regimes else []
+    if regimes:
+        df = P.vol_regime(P.ema_gaps(df, W, (90,)), W)
     df = df.filter(F.col("target_end_date").isNotNull() & F.col("target_return_1d").isNotNull())
     keep = ["series_id", "date", "target_end_date", "target_return_1d", "log_return_1d", "threshold_dynamic", "label_dynamic", "target_move_dynamic", "target_direction", "volatility_21d"]
-    return stored(df.select(*keep, *FEATS), "model-rows")
+    return stored(df.select(*keep, *FEATS, *context), "model-rows")
 
 
 def folds_of(df, k=2, window=730):
@@ -116,9 +122,12 @@ def _(spark, sf_dir):
 
 @query("post_analysis", "X05 M17 M23 M24")
 def _(spark, sf_dir):
-    df = model_rows(spark, sf_dir).withColumn("vol_rank", F.least(F.col("volatility_21d"), F.lit(1.0)))
-    parts = RS.post_analysis(df, "label_dynamic", FEATS, [QUICK["random_forest"], QUICK["logistic"]], folds_of(df), "vol_rank", "return_7d")
-    return parts["regimes"]
+    """Every part of the analysis but the predictions, each row as JSON."""
+    df = model_rows(spark, sf_dir, regimes=True)
+    specs = [QUICK["random_forest"], QUICK["logistic"]]
+    parts = RS.post_analysis(df, "label_dynamic", FEATS, specs, folds_of(df), "vol_regime_pctile", "ema_gap_90d")
+    long = [p.select(F.lit(n).alias("part"), F.to_json(F.struct(*p.columns)).alias("row")) for n, p in parts.items() if n != "predictions"]
+    return reduce(DataFrame.unionByName, long)
 
 
 def search_data(spark, sf_dir, task):

@@ -48,10 +48,14 @@ def _(spark, sf_dir):
 
 @query(
     "spine_join", "J02",
-    out("SELECT b.series_id, b.date, b.close, m.value FROM bars b LEFT JOIN metrics m ON b.date = m.date AND m.metric = 'P'", "series_id", "date", "close value", ctes=BARS + ", " + METRICS),
+    out(
+        """SELECT b.series_id, b.date, b.close, m.f, m.o, m.p FROM bars b LEFT JOIN (SELECT date, max(value) FILTER (metric = 'F') AS f, max(value) FILTER (metric = 'O') AS o,
+             max(value) FILTER (metric = 'P') AS p FROM metrics GROUP BY 1) m ON b.date = m.date""",
+        "series_id", "date", "close f o p", ctes=BARS + ", " + METRICS,
+    ),
 )
 def _(spark, sf_dir):
-    ext = status_metrics(spark, sf_dir).filter(F.col("metric") == "P").select("date", "value")
+    ext = J.outer_from_long(status_metrics(spark, sf_dir), ["date"], "metric", "value", ["F", "O", "P"]).toDF("date", "f", "o", "p")
     return J.on_spine(line_bars(spark, sf_dir).select("series_id", "date", "close"), ext, ["date"])
 
 

@@ -132,18 +132,20 @@ def _(spark, sf_dir):
     return SEL.selection_frequency(records)
 
 
-EMB = ["e0", "e1", "e2", "e3"]
+#: Dimensions of the vectors; each is unknown for one class.
+DIMS, N_CLASSES = 64, 10
+EMB = [f"e{i}" for i in range(DIMS)]
 EMB_SQL = "emb AS (SELECT vec_id, label, " + ", ".join(
-    f"CASE WHEN label = {i} THEN NULL ELSE round(CAST(embedding[{i + 1}] AS DOUBLE), 6) END AS e{i}" for i in range(4)
+    f"CASE WHEN label = {i % N_CLASSES} THEN NULL ELSE round(CAST(embedding[{i + 1}] AS DOUBLE), 6) END AS e{i}" for i in range(DIMS)
 ) + " FROM embeddings)"
 
 
 def vectors(spark, sf_dir):
-    """Four embedding dimensions as features; each is unknown for one class."""
+    """The dimensions of the embeddings as features."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         "vec_id", "label",
-        *[F.when(F.col("label") != i, F.round(F.col("embedding")[i].cast("double"), 6)).alias(f"e{i}") for i in range(4)],
+        *[F.when(F.col("label") != i % N_CLASSES, F.round(F.col("embedding")[i].cast("double"), 6)).alias(f"e{i}") for i in range(DIMS)],
     )
 
 
@@ -152,7 +154,7 @@ def vectors(spark, sf_dir):
     out(
         " UNION ALL ".join(
             f"SELECT vec_id, 'e{i}' AS feature, coalesce(e{i}, (SELECT median(e{i}) FROM emb)) AS imputed, CASE WHEN e{i} IS NULL THEN 1.0 ELSE 0.0 END AS was_missing FROM emb"
-            for i in range(4)
+            for i in range(DIMS)
         ),
         "feature", "", "imputed was_missing", "vec_id", ctes=EMB_SQL, digits=8,
     ),
@@ -166,7 +168,7 @@ def _(spark, sf_dir):
 
 @query(
     "missing_flags", "M02",
-    out("SELECT vec_id, " + ", ".join(f"CASE WHEN e{i} IS NULL THEN 1.0 ELSE 0.0 END AS e{i}_missing" for i in range(4)) + " FROM emb", "", "", [f"{c}_missing" for c in EMB], "vec_id", ctes=EMB_SQL),
+    out("SELECT vec_id, " + ", ".join(f"CASE WHEN e{i} IS NULL THEN 1.0 ELSE 0.0 END AS e{i}_missing" for i in range(DIMS)) + " FROM emb", "", "", [f"{c}_missing" for c in EMB], "vec_id", ctes=EMB_SQL),
 )
 def _(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -175,7 +177,7 @@ def _(spark, sf_dir):
 
 @query(
     "standardised_features", "M03",
-    out("SELECT vec_id, " + ", ".join(f"(e{i} - (SELECT avg(e{i}) FROM emb)) / (SELECT stddev_pop(e{i}) FROM emb) AS e{i}" for i in range(4)) + " FROM emb", "", "", EMB, "vec_id", ctes=EMB_SQL),
+    out("SELECT vec_id, " + ", ".join(f"(e{i} - (SELECT avg(e{i}) FROM emb)) / (SELECT stddev_pop(e{i}) FROM emb) AS e{i}" for i in range(DIMS)) + " FROM emb", "", "", EMB, "vec_id", ctes=EMB_SQL),
 )
 def _(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -203,13 +205,11 @@ HASH = """sha256('{"feature_set":"' || feature_set || '","model":"' || model ||
 
 def order_grid(spark, sf_dir):
     """A configuration grid whose axes are the distinct priorities and statuses of the orders."""
-    from ..functions.hashing import config_hash
+    from ..plans.search import config_grid
 
     o = table(spark, sf_dir, "orders", "o_orderpriority", "o_orderstatus")
-    a = o.select(F.col("o_orderpriority").alias("feature_set")).distinct()
-    b = o.select(F.col("o_orderstatus").alias("model")).distinct()
-    grid = a.crossJoin(b).withColumn("top_k", F.explode(F.array(F.lit(30), F.lit(50))))
-    return grid.withColumn("config_hash", config_hash(["feature_set", "model", "top_k"]))
+    axis = lambda name: sorted(r[0] for r in o.select(name).distinct().collect())
+    return config_grid(spark, {"feature_set": axis("o_orderpriority"), "model": axis("o_orderstatus"), "top_k": [30, 50]})
 
 
 @query("config_grid", "X01 F07", out(f"SELECT feature_set, model, top_k, {HASH} AS config_hash FROM {GRID_AXES}", "feature_set model config_hash", "", (), "top_k"))
