@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SLICE_BYTES, slices
 from .units import Ragged, number
@@ -170,6 +171,7 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     table gives no rows; other columns are ignored.  ``with_ids`` adds the token ids of each piece.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    key_type = to_arrow_type(rows.schema["doc_id"].dataType)
     schema = FIELDS.format(id=rows.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
 
     def pack(batches):
@@ -203,6 +205,7 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(out[0])]
-        return pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], names=names)
+        key, *others = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(key, key_type), *[pa.array(list(c)) for c in others]], names=names)
 
     return rows.mapInArrow(pack, schema)
