@@ -23,7 +23,6 @@ DOMAIN_LEXICON = {
 NORMALISER = 15.0
 POSITIVE_CUT, NEGATIVE_CUT = 0.05, -0.05
 COUNTERS = ("like_count", "retweet_count", "reply_count", "quote_count")
-IN_ROW_WORDS, BROADCAST_WORDS = 64, 200_000
 WORD_BREAK = r"[^\p{L}\p{N}']+"
 
 
@@ -32,28 +31,14 @@ def with_clean_text(posts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def compound(posts: DataFrame, post_id: str, lexicon: Mapping[str, float] | None = None, text: str = "clean_text") -> DataFrame:
-    """Normalised lexicon polarity per post.
+    """Normalised lexicon polarity per post; ``post_id`` names one post each, a post without hits or id scores zero.
 
-    A lexicon of a few dozen words is looked up inside the row, so no text is
-    shuffled.  A longer one is joined to the words of the whole text; only hits
-    leave the map side, already summed per post.  The lexicon comes from the
-    caller's dictionary, so its size is known; beyond ``BROADCAST_WORDS`` Spark
-    chooses the join itself.
+    The words of the whole text meet the lexicon, whose size Spark knows; only hits leave the map side, summed per post.
+    The sums then join the posts, so a caller that no longer selects the text does not shuffle it.
     """
     words = dict(DOMAIN_LEXICON if lexicon is None else lexicon)
-    if len(words) <= IN_ROW_WORDS:
-        polarity = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
-        hits = F.transform(
-            F.split(F.lower(F.col(text)), WORD_BREAK), lambda w: F.coalesce(F.try_element_at(polarity, w), F.lit(0.0))
-        )
-        total = F.aggregate(hits, F.lit(0.0), lambda acc, v: acc + v)
-        return posts.withColumn("__s", total).withColumn("compound", _normalised(F.col("__s"))).drop("__s")
     table = small_table(posts.sparkSession, list(words.items()), "word string, polarity double")
-    if len(words) <= BROADCAST_WORDS:
-        table = F.broadcast(table)
-    tokens = posts.select(
-        F.col(post_id), F.explode(F.split(F.lower(F.col(text)), WORD_BREAK)).alias("word")
-    )
+    tokens = posts.select(F.col(post_id), F.explode(F.split(F.lower(F.col(text)), WORD_BREAK)).alias("word"))
     total = tokens.join(table, "word").groupBy(post_id).agg(F.sum("polarity").alias("__s"))
     return posts.join(total, post_id, "left").withColumn("compound", _normalised(F.coalesce("__s", F.lit(0.0)))).drop("__s")
 

@@ -66,7 +66,7 @@ def test_synonyms_and_status(spark):
     assert got == {"a": "ok", "b": "empty", "c": "missing"}
 
 
-def test_sentiment_by_hand(spark, monkeypatch):
+def test_sentiment_by_hand(spark):
     rows = [
         (1, "2024-01-01", "Bullish!! https://t.co/x @me #moon", 0), (2, "2024-01-01", "nothing here", 9), (3, "2024-01-02", "crash crash", 0),
     ]
@@ -74,8 +74,8 @@ def test_sentiment_by_hand(spark, monkeypatch):
     scored = ST.compound(ST.with_engagement(ST.with_clean_text(df)), "id")
     got = {r["id"]: r["compound"] for r in scored.collect()}
     assert got[1] == pytest.approx(4.5 / (4.5**2 + 15) ** 0.5) and got[2] == 0 and got[3] == pytest.approx(-5 / 40**0.5)
-    monkeypatch.setattr(ST, "IN_ROW_WORDS", 0)
-    joined = ST.compound(ST.with_engagement(ST.with_clean_text(df)), "id")
+    padded = ST.DOMAIN_LEXICON | {f"unseen{i}": 1.0 for i in range(5000)}
+    joined = ST.compound(ST.with_engagement(ST.with_clean_text(df)), "id", padded)
     assert {r["id"]: r["compound"] for r in joined.collect()} == pytest.approx(got)
     day = {r["date"]: r for r in ST.daily_sentiment(scored).collect()}
     assert day["2024-01-01"]["x_post_count"] == 2 and day["2024-01-01"]["x_sentiment_median"] == pytest.approx(got[1] / 2)
