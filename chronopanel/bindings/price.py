@@ -72,6 +72,36 @@ def _(spark, sf_dir):
     return done.select("series_id", "hour", "return_7", "sd_30", "max_90", "next_close")
 
 
+@query(
+    "hourly_running_totals", "W47 W48 J03",
+    out(
+        f"""SELECT series_id, hour, sum(coalesce(sign(close - pc), 0) * volume) OVER s AS obv,
+            sum(coalesce((2 * close - low - high) / nullif(high - low, 0), 0) * volume) OVER s AS ad,
+            last_value(CASE WHEN close > pc THEN close END IGNORE NULLS) OVER s AS last_rise
+            FROM (SELECT *, lag(close) OVER (PARTITION BY series_id ORDER BY hour) AS pc FROM ({EVENT_BARS}))
+            WINDOW s AS (PARTITION BY series_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        "series_id", "hour", "obv ad last_rise",
+    ),
+)
+def _(spark, sf_dir):
+    """Volume balance, accumulation and the last rising close of an intraday panel, no whole series in one task."""
+    from ..functions import numeric as N
+    from ..functions import rolling as R
+
+    def compute(df, w):
+        return df.withColumn("step", F.col("close") - R.lag("close", 1, w))
+
+    w, day = SeriesWindow(("series_id",), "hour"), F.to_date("hour")
+    steps = PN.in_blocks(event_bars(spark, sf_dir), compute, w, day, 1, block_rows=64)
+    place = N.safe_div(2 * F.col("close") - F.col("low") - F.col("high"), F.col("high") - F.col("low"))
+    totals = {
+        "obv": F.coalesce(F.signum("step"), F.lit(0.0)) * F.col("volume"),
+        "ad": F.coalesce(place, F.lit(0.0)) * F.col("volume"),
+    }
+    done = PN.so_far(steps, ["series_id"], "hour", day, totals, {"last_rise": F.when(F.col("step") > 0, F.col("close"))})
+    return done.select("series_id", "hour", "obv", "ad", "last_rise")
+
+
 RETURN_NAMES = [f"{p}_{n}d" for n in P.RETURN_LAGS for p in ("return", "log_return")]
 RETURN_SQL = "SELECT series_id, date, " + ", ".join(
     f"close / lag(close, {n}) OVER {S} - 1 AS return_{n}d, log_price - lag(log_price, {n}) OVER {S} AS log_return_{n}d"

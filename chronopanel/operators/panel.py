@@ -12,7 +12,7 @@ blocks of ``block_rows`` and every block carries a copy of the preceding
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,15 +91,19 @@ def in_blocks(
     compute: Callable[[DataFrame, SeriesWindow], DataFrame],
     w: SeriesWindow,
     bucket: Column,
-    lookback: int,
+    lookback: int | None,
     lookahead: int = 0,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Run ``compute`` over overlapping row blocks instead of whole series.
 
     ``lookback``/``lookahead`` are the rows any output may depend on; the
-    copies are dropped again, so each input row yields one output row.
+    copies are dropped again, so each input row yields one output row.  A
+    compute without bound (``lookback`` None: running totals, last known
+    values) is refused; ``so_far`` is made for it.
     """
+    if lookback is None:
+        raise ValueError("blocks need a bounded look-back; running totals and last known values come from so_far")
     if block_rows <= max(lookback, lookahead):
         raise ValueError("block_rows must exceed the overlap")
     placed = with_positions(df, w.keys, w.order, bucket)
@@ -119,6 +123,47 @@ def in_blocks(
     return result.filter(F.col(BLOCK) == F.col("__home")).drop(BLOCK, "__home", POSITION)
 
 
+def so_far(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    bucket: Column,
+    totals: Mapping[str, str | Column] | None = None,
+    latest: Mapping[str, str | Column] | None = None,
+) -> DataFrame:
+    """Running totals and last known values from the first row of a series on, without a whole series in one task.
+
+    Both reach back without bound, so row blocks with an overlap cannot give them.  ``bucket`` must grow with ``order``:
+    buckets are reduced first, their few rows are carried forward, and rows are only sorted inside a bucket.  Missing
+    values add nothing; before the first known one the result is missing.
+    """
+    totals, latest = dict(totals or {}), dict(latest or {})
+    given = {f"__v_{n}": col(e) for n, e in (totals | latest).items()}
+    cut = df.withColumn("__bucket", bucket).withColumns(given)
+    known = lambda n: F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))
+    reduced = cut.groupBy(*keys, "__bucket").agg(
+        *[F.sum(f"__v_{n}").alias(f"__r_{n}") for n in totals], *[F.max_by(f"__v_{n}", known(n)).alias(f"__r_{n}") for n in latest]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = reduced.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        F.col("__bucket").alias("__k_bucket"),
+        *[F.sum(f"__r_{n}").over(earlier).alias(f"__s_{n}") for n in totals],
+        *[F.last(f"__r_{n}", ignorenulls=True).over(earlier).alias(f"__s_{n}") for n in latest],
+    )
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = {f"__l_{n}": F.sum(f"__v_{n}").over(inside) for n in totals}
+    local |= {f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(inside) for n in latest}
+    match = F.col("__bucket").eqNullSafe(F.col("__k_bucket"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = cut.withColumns(local).join(starts, match)
+    both = {n: F.coalesce(F.col(f"__s_{n}") + F.col(f"__l_{n}"), f"__s_{n}", f"__l_{n}") for n in totals}
+    both |= {n: F.coalesce(f"__l_{n}", f"__s_{n}") for n in latest}
+    helpers = [f"__{k}_{n}" for n in both for k in "vls"]
+    return joined.withColumns(both).drop("__bucket", "__k_bucket", *[f"__k_{k}" for k in keys], *helpers)
+
+
 def largest_series(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the longest series (one small aggregate; decides the layout of a fine panel)."""
     row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()

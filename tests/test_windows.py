@@ -150,6 +150,16 @@ def test_blocks_equal_whole_series(panel, block_rows):
     pd.testing.assert_frame_equal(whole, cut, rtol=1e-9, atol=1e-12)
     with pytest.raises(ValueError):
         PN.in_blocks(panel, compute, W, F.trunc("date", "month"), 200, 1, 100)
+    with pytest.raises(ValueError, match="so_far"):
+        PN.in_blocks(panel, compute, W, F.trunc("date", "month"), None)
+
+
+def test_running_totals_equal_whole_series(panel):
+    rows = panel.withColumn("some", F.when(F.dayofmonth("date") % 7 == 3, F.col("volume")))
+    whole = result(rows.withColumns({"total": F.sum("some").over(W.so_far), "known": F.last("some", True).over(W.so_far)}), "total", "known")
+    cut = result(PN.so_far(rows, ["series_id"], "date", F.trunc("date", "month"), {"total": "some"}, {"known": "some"}), "total", "known")
+    pd.testing.assert_frame_equal(whole, cut, rtol=1e-9)
+    assert whole["total"].isna().any() and whole["known"].notna().any()
 
 
 def test_adaptive_layout(panel):
