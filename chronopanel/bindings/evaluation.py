@@ -313,7 +313,7 @@ def ensembled(spark, sf_dir):
     scores = M.class_scores(p.withColumn("pred3", A.class_of_max("p3", L.THREE_CLASSES)), ["model"], "y3", "pred3")
     weights = scores.select("model", F.col("macro_f1").alias("score"))
     shared = J.common_support(p, ["series_id", "date"], "model", 3)
-    return D.ensemble(shared.select("model", "series_id", "date", "p3"), weights, ["series_id", "date"], "p3"), p, weights
+    return D.ensemble(shared.select("model", "series_id", "date", "p3"), weights, ["series_id", "date"], len(L.THREE_CLASSES), "p3"), p, weights
 
 
 @query(

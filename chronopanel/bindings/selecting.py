@@ -61,11 +61,11 @@ def folds3(df):
 
 @query(
     "train_stats", "A08 P12",
-    out(f"SELECT fold, feature, rows, known, lo, hi, known / rows AS coverage FROM ({STATS})", "feature", "", "lo hi coverage", "fold rows known", ctes=TRAIN),
+    out(f"SELECT fold, feature, rows, known, lo, hi, nd AS n_distinct, known / rows AS coverage FROM ({STATS})", "feature", "", "lo hi coverage", "fold rows known n_distinct", ctes=TRAIN),
 )
 def _(spark, sf_dir):
     df = feature_rows(spark, sf_dir)
-    return SEL.train_stats(df, folds3(df), FEATS).drop("n_distinct")
+    return SEL.train_stats(df, folds3(df), FEATS)
 
 
 @query(
@@ -107,7 +107,11 @@ def _(spark, sf_dir):
 
 @query(
     "variance_ranking", "M16",
-    out("SELECT fold, feature, var_pop(value) AS variance FROM lf GROUP BY 1, 2", "feature", "", "variance", "fold", ctes=TRAIN),
+    out(
+        """SELECT fold, feature, var_pop(coalesce(value, mid)) AS variance FROM lf JOIN (SELECT fold, feature, median(value) AS mid FROM lf GROUP BY 1, 2
+           HAVING count(value) >= 0.6 * count(*) AND count(DISTINCT value) > 2) USING (fold, feature) GROUP BY 1, 2""",
+        "feature", "", "variance", "fold", ctes=TRAIN,
+    ),
 )
 def _(spark, sf_dir):
     df = feature_rows(spark, sf_dir)

@@ -126,21 +126,14 @@ def regime_scores(df: DataFrame, y: str, pred: str, vol_rank: str, trend: str, l
     return scores_from_confusion(spread, ["regime"]).filter(F.col("samples") >= least)
 
 
-def ensemble(predictions: DataFrame, weights: DataFrame, row_keys: Sequence[str], p: str = "p") -> DataFrame:
-    """Weighted mean of probability vectors over models.
+def ensemble(predictions: DataFrame, weights: DataFrame, row_keys: Sequence[str], classes: int, p: str = "p") -> DataFrame:
+    """Weighted mean of vectors of ``classes`` probabilities over models, in one aggregation.
 
     ``weights`` has one row per model (score floored at 1e-6, normalised here).
     """
-    floored = weights.withColumn("__w", F.greatest(F.col("score"), F.lit(1e-6)))
-    whole = floored.agg(F.sum("__w").alias("__sum"))
-    share = floored.join(F.broadcast(whole)).select("model", (F.col("__w") / F.col("__sum")).alias("weight"))
-    long = predictions.join(F.broadcast(share), "model").select(
-        *row_keys, "weight", F.posexplode(p).alias("slot", "prob")
-    )
-    summed = long.groupBy(*row_keys, "slot").agg(F.sum(F.col("weight") * F.col("prob")).alias("prob"))
-    return summed.groupBy(*row_keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "prob"))), lambda s: s["prob"]).alias(p)
-    )
+    share = member_weights(weights).select("model", "weight")
+    sums = [F.sum(F.col("weight") * F.get(F.col(p), F.lit(i))) for i in range(classes)]
+    return predictions.join(F.broadcast(share), "model").groupBy(*row_keys).agg(F.array(*sums).alias(p))
 
 
 def member_weights(weights: DataFrame) -> DataFrame:

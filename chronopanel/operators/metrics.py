@@ -110,12 +110,18 @@ def pearson(df: DataFrame, keys: Sequence[str], y: str, pred: str, out: str = "p
 
 
 def spearman(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> DataFrame:
-    """Pearson of tie-averaged ranks."""
+    """Pearson of tie-averaged ranks; rows are counted per pair of values before any value is joined to its rank."""
     known = df.filter(col(y).isNotNull() & col(pred).isNotNull()).select(*keys, y, pred)
-    ranked = known.join(average_rank(known, keys, y, "__ry"), [*keys, y]).join(
+    pairs = known.groupBy(*keys, y, pred).agg(F.count(F.lit(1)).alias("n"))
+    ranked = pairs.join(average_rank(known, keys, y, "__ry"), [*keys, y]).join(
         average_rank(known, keys, pred, "__rp"), [*keys, pred]
     )
-    return ranked.groupBy(*keys).agg(_pearson("__ry", "__rp").alias("spearman"))
+    rows = F.sum("n").cast("double")
+    # both ranks average to (rows + 1) / 2, whatever the ties
+    about = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b)) - rows * (rows + 1) * (rows + 1) / F.lit(4.0)
+    varies = (F.max("__ry") > F.min("__ry")) & (F.max("__rp") > F.min("__rp"))
+    value = F.try_divide(about("__ry", "__rp"), F.sqrt(about("__ry", "__ry")) * F.sqrt(about("__rp", "__rp")))
+    return ranked.groupBy(*keys).agg(F.when(varies, value).alias("spearman"))
 
 
 def derived_class_scores(df: DataFrame, keys: Sequence[str], y: str, pred: str, threshold: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranking import exact_median
 from .splits import assign
 from ..session import small_table
 
@@ -82,7 +83,7 @@ def long_features(rows: DataFrame, keep: Sequence[str], features: Sequence[str])
 
 
 def train_stats(rows: DataFrame, folds: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Per fold and feature on training rows: rows, known share, extremes, distinct (approximate)."""
+    """Per fold and feature on training rows: rows, known share, extremes, distinct values."""
     train = assign(rows.select("date", "target_end_date", *features), folds).filter(F.col("role") == "train")
     long = long_features(train, ["fold"], features)
     return long.groupBy("fold", "feature").agg(
@@ -90,7 +91,7 @@ def train_stats(rows: DataFrame, folds: DataFrame, features: Sequence[str]) -> D
         F.count("value").alias("known"),
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
-        F.approx_count_distinct("value", 0.01).alias("n_distinct"),
+        F.count_distinct("value").alias("n_distinct"),
     ).withColumn("coverage", F.col("known") / F.col("rows"))
 
 
@@ -161,9 +162,24 @@ def binned_information(
     return cells.groupBy("fold", "feature").agg(F.sum(term).alias("mi"))
 
 
-def train_variance(rows: DataFrame, folds: DataFrame, features: Sequence[str]) -> DataFrame:
+def train_variance(
+    rows: DataFrame, folds: DataFrame, features: Sequence[str], min_coverage: float = 0.60, min_distinct: int = 2
+) -> DataFrame:
+    """Population variance per fold and feature on training rows, missing values replaced by the training median.
+
+    Features with too few known values, or with no more than ``min_distinct`` different ones, are left out.
+    """
     train = assign(rows.select("date", "target_end_date", *features), folds).filter(F.col("role") == "train")
-    return long_features(train, ["fold"], features).groupBy("fold", "feature").agg(F.var_pop("value").alias("variance"))
+    long = long_features(train, ["fold"], features)
+    gate = long.groupBy("fold", "feature").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("known"), F.count_distinct("value").alias("n_distinct")
+    ).filter((F.col("known") >= F.lit(min_coverage) * F.col("rows")) & (F.col("n_distinct") > min_distinct))
+    medians = exact_median(long, ["fold", "feature"], "value", "mid")
+    usable = gate.select("fold", "feature").join(medians, ["fold", "feature"])
+    # folds x features rows, as in binned_information
+    return long.join(F.broadcast(usable), ["fold", "feature"]).groupBy("fold", "feature").agg(
+        F.var_pop(F.coalesce("value", "mid")).alias("variance")
+    )
 
 
 def top_features(scores: DataFrame, score: str, k: int) -> DataFrame:

@@ -83,7 +83,7 @@ def evaluate_task(
         long = long.unionByName(p)
     long = stored(long, "holdout_predictions")
     weights = small_table(spark, [(f"{r[0]}/{r[1]}", r[4]) for r in ranked[:members]], "model string, score double")
-    ensemble = D.ensemble(long, weights, KEYS)
+    ensemble = D.ensemble(long, weights, KEYS, len(classes))
     best_p = long.filter(F.col("model") == f"{best[0]}/{best[1]}").select(*KEYS, F.col("p").alias("best_p"))
     truth = test.select(*KEYS, F.col(target).cast("int").alias("y"))
     table = stored(
@@ -234,7 +234,7 @@ def post_analysis(df: DataFrame, target: str, features: Sequence[str], specs: Se
     first = next(iter(runs))
     facts = long.filter(F.col("model") == first).select(*KEYS, "fold", "y")
     context = df.select(*KEYS, F.col(vol_rank).alias("vol_rank"), F.col(trend).alias("trend"))
-    table = D.ensemble(shared.select("model", *KEYS, "p"), weights, KEYS).join(facts, list(KEYS)).join(context, list(KEYS))
+    table = D.ensemble(shared.select("model", *KEYS, "p"), weights, KEYS, len(classes)).join(facts, list(KEYS)).join(context, list(KEYS))
     table = stored(table.withColumns({"pred": A.class_of_max("p", classes), "confidence": A.confidence("p")}), "ensemble")
     fold_scores = M.class_scores(table, ["fold"], "y", "pred")
     out = {
