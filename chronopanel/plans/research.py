@@ -18,7 +18,7 @@ from ..operators import splits as SP
 from ..operators.cleaning import recent_window
 from ..session import small_table, stored
 from ..sources.results import save_model
-from .crossval import KEYS, Evaluation, _sides, classification_cv, pick_features
+from .crossval import KEYS, Evaluation, _over_folds, _sides, classification_cv, pick_features
 from .models import Fitted, ModelSpec, fit_classifier, predict_classes
 
 
@@ -47,7 +47,10 @@ def evaluate_task(
     members: int = 3,
     artifact: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Family x model grid, best refit and score-weighted ensemble on a purged holdout."""
+    """Family x model grid, best refit and score-weighted ensemble on a purged holdout.
+
+    Where no fold could be fitted only the empty comparison is returned.
+    """
     spark = df.sparkSession
     classes = L.target_classes(target)
     cut = SP.fixed(SP.holdout_fold(df)).first()
@@ -69,6 +72,8 @@ def evaluate_task(
         "fold_macro_f1_mean double, fold_macro_f1_std double, oof_rows bigint",
     )
     ranked = sorted(rows, key=lambda r: (-r[4], r[6], r[0], r[1]))
+    if not ranked:
+        return {"comparison": comparison}
     best = ranked[0]
     parts = []
     for r in ranked[:members]:
@@ -99,42 +104,49 @@ def evaluate_task(
     return {"comparison": comparison, "holdout": holdout, "predictions": table, "members": D.member_weights(weights)}
 
 
-def two_stage(df: DataFrame, features: Sequence[str], specs: Sequence[ModelSpec], n_splits: int = 5, least: int = 50) -> dict[str, DataFrame]:
-    """Move model and direction model (trained on moving rows), combined by a swept threshold."""
-    spark = df.sparkSession
+def two_stage(
+    df: DataFrame, features: Sequence[str], specs: Sequence[ModelSpec], n_splits: int = 5, least: int = 50, parallelism: int = 2
+) -> dict[str, DataFrame]:
+    """Move model and direction model (trained on moving rows), combined by a swept threshold.
+
+    A fold whose direction model cannot be fitted still counts for the choice of the move model.  No parts are returned
+    where no move model or no direction model could be fitted at all.
+    """
     cut = SP.fixed(SP.holdout_fold(df)).first()
     train, test = _sides(df, cut)
     train, test = stored(train, "train"), stored(test, "holdout")
     folds = SP.fixed(SP.expanding_folds(train, n_splits))
     chosen = pick_features(train, folds, features, "target_move_dynamic", len(features), "coverage")
-    parts = []
-    for spec in specs:
-        for fold in folds.collect():
-            feats = chosen.get(fold["fold"], [])
-            tr, va = _sides(train, fold)
-            moving = tr.filter(F.col("label_dynamic") != 0)
-            move = fit_classifier(tr, feats, "target_move_dynamic", spec)
-            if move is None or moving.count() < least:
-                continue
-            side = fit_classifier(moving, feats, "target_direction", spec)
-            if side is None:
-                continue
-            pm = predict_classes(move, va, KEYS, [0, 1]).select(*KEYS, F.col("p")[1].alias("move_p"))
-            pd = predict_classes(side, va, KEYS, [0, 1]).select(*KEYS, F.col("p")[1].alias("up_p"))
-            truth = va.select(*KEYS, "label_dynamic", "target_move_dynamic", "target_direction")
-            parts.append(truth.join(pm, list(KEYS)).join(pd, list(KEYS)).withColumn("model", F.lit(spec.name)))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
+
+    def fold_part(spec, fold):
+        feats = chosen.get(fold["fold"], [])
+        tr, va = _sides(train, fold)
+        move = fit_classifier(tr, feats, "target_move_dynamic", spec) if len(feats) >= 2 else None
+        if move is None:
+            return None
+        moving = tr.filter(F.col("label_dynamic") != 0)
+        side = fit_classifier(moving, feats, "target_direction", spec) if moving.count() >= least else None
+        up_of = lambda fitted, name: predict_classes(fitted, va, KEYS, [0, 1]).select(*KEYS, F.col("p")[1].alias(name))
+        truth = va.select(*KEYS, "label_dynamic", "target_move_dynamic", "target_direction")
+        judged = truth.join(up_of(move, "move_p"), list(KEYS))
+        judged = judged.withColumn("up_p", F.lit(None).cast("double")) if side is None else judged.join(up_of(side, "up_p"), list(KEYS))
+        return judged.withColumn("model", F.lit(spec.name)), side is not None
+
+    done = [p for spec in specs for p in _over_folds(lambda fold: fold_part(spec, fold), folds.collect(), parallelism) if p is not None]
+    if not any(has_side for _, has_side in done):
+        return {}
+    oof = done[0][0]
+    for part, _ in done[1:]:
+        oof = oof.unionByName(part)
     oof = stored(oof, "two_stage_oof")
     judged = oof.withColumns({"said_move": (F.col("move_p") >= 0.5).cast("int"), "said_up": (F.col("up_p") >= 0.5).cast("int")})
     pick = lambda rows, y, pred: M.class_scores(rows, ["model"], y, pred).agg(
         F.max_by("model", F.struct("macro_f1", "model")).alias("m")
     ).first()["m"]
     move_name = pick(judged, "target_move_dynamic", "said_move")
-    dir_name = pick(judged.filter(F.col("label_dynamic") != 0), "target_direction", "said_up")
+    dir_name = pick(judged.filter((F.col("label_dynamic") != 0) & F.col("up_p").isNotNull()), "target_direction", "said_up")
     mixed = oof.filter(F.col("model") == move_name).select(*KEYS, "label_dynamic", "move_p").join(
-        oof.filter(F.col("model") == dir_name).select(*KEYS, "up_p"), list(KEYS)
+        oof.filter((F.col("model") == dir_name) & F.col("up_p").isNotNull()).select(*KEYS, "up_p"), list(KEYS)
     )
     sweep = stored(D.two_stage_scores(mixed, [], "label_dynamic", "move_p", "up_p"), "sweep")
     threshold = D.best_threshold(sweep, []).first()["decision_threshold"]
@@ -158,9 +170,11 @@ def two_stage(df: DataFrame, features: Sequence[str], specs: Sequence[ModelSpec]
 
 
 def scorecard(tasks: Mapping[str, dict[str, DataFrame]], staged: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One row per task: best out-of-fold choice and its holdout scores."""
+    """One row per task: best out-of-fold choice and its holdout scores; tasks that could not be fitted have no row."""
     rows = None
     for task, parts in tasks.items():
+        if "holdout" not in parts:
+            continue
         best = parts["comparison"].agg(
             F.max_by(F.struct("model", "feature_set", "macro_f1"), F.struct("macro_f1", -F.col("fold_macro_f1_std"))).alias("b")
         )
@@ -171,7 +185,7 @@ def scorecard(tasks: Mapping[str, dict[str, DataFrame]], staged: dict[str, DataF
             F.col("ensemble_holdout").alias("ensemble_holdout_macro_f1"), F.col("ensemble_holdout_balanced").alias("holdout_balanced_accuracy"),
         )
         rows = row if rows is None else rows.unionByName(row)
-    if staged is not None:
+    if staged:
         row = staged["holdout"].select(
             F.lit("two_stage").alias("task"), F.concat_ws(" -> ", "move_model", "direction_model").alias("best_model"),
             F.lit("all").alias("best_feature_set"), F.lit(None).cast("double").alias("best_oof_macro_f1"),

@@ -14,6 +14,8 @@ from chronopanel.operators import metrics as M
 from chronopanel.operators import preprocess as PP
 from chronopanel.operators import ranking as RK
 from chronopanel.operators import splits as SP
+from chronopanel.plans import research as RS
+from chronopanel.plans.models import CLASSIFIERS
 
 DAY0 = dt.date(2015, 1, 1)
 
@@ -174,3 +176,12 @@ def test_regression_selection_ignores_validation_targets(spark):
     other = df.withColumn("y", F.when(F.col("date") >= F.lit(start), F.lit(1e6) - F.col("y")).otherwise(F.col("y")))
     chosen = pick_features(df, folds, names, "y", 2, "regression")
     assert chosen == pick_features(other, folds, names, "y", 2, "regression") and all("f0" in v for v in chosen.values())
+
+
+def test_two_stage_without_direction_models(spark):
+    rows = [(f"s{i % 2}", dt.date(2020, 1, 1) + dt.timedelta(i // 2), float(i % 7), float(i % 5), i % 2) for i in range(800)]
+    df = spark.createDataFrame(rows, "series_id string, date date, a double, b double, target_move_dynamic int").withColumns(
+        {"target_end_date": F.date_add("date", 1), "label_dynamic": F.col("target_move_dynamic"), "target_direction": F.lit(1)}
+    )
+    # every move goes up, so no direction model can be fitted in any fold
+    assert RS.two_stage(df, ["a", "b"], [CLASSIFIERS["logistic"].sized(3)], 2) == {}
