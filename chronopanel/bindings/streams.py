@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators.ewm import span_alpha
@@ -86,6 +88,8 @@ e AS (SELECT series_id, rn, close AS y, CAST(0 AS DOUBLE) AS gain, CAST(0 AS DOU
   FROM e JOIN nb q ON q.series_id = e.series_id AND q.rn = e.rn + 1)"""
 #: Days of bars that land together, and how late a bar may come: odd hours land one slice after their own.
 SLICE_DAYS, LATE_DAYS = 3, 5
+#: Files that the bars of a slice land in.
+SLICE_FILES = 4
 
 
 @query(
@@ -98,14 +102,22 @@ SLICE_DAYS, LATE_DAYS = 3, 5
     ),
 )
 def _(spark, sf_dir):
-    """Hourly bars as files that land one after another, out of order, one micro-batch each.  Bars that late ones may still
-    precede at the end are not given out."""
+    """Hourly bars as files that land one after another, out of order, the files of a slice together in one micro-batch.
+
+    Last lands a closing bar beyond the lateness: the watermark passes every bar of the table, and the closing one, which it
+    does not pass, is never given out.
+    """
     b = event_bars(spark, sf_dir).select("series_id", F.col("hour").cast("timestamp").alias("period"), "close", F.col("volume").cast("double").alias("volume"))
     late = F.expr("hour(period) % 2")
     first = F.lit(b.agg(F.min("period").alias("at")).first()["at"])
     b = stored(b.withColumn("slice", F.floor(F.datediff("period", first) / SLICE_DAYS) + late), "bars-sliced")
-    landed = scratch_path(spark, "bars")
-    for k in range(b.agg(F.coalesce(F.max("slice"), F.lit(0))).first()[0] + 1):
-        b.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(landed)
-    stream = spark.readStream.schema(b.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    return SK.drained(SS.streaming_indicators(stream, lateness=f"{LATE_DAYS} days"), "indicators").select("series_id", "period", "close", "ema", "obv", "rsi")
+    bars, landed = b.drop("slice"), scratch_path(spark, "bars")
+    slices = b.agg(F.coalesce(F.max("slice"), F.lit(-1))).first()[0] + 1
+    after = F.max("period") + F.expr(f"INTERVAL {LATE_DAYS} DAYS 1 SECOND")
+    closing = bars.agg(F.min("series_id").alias("series_id"), after.alias("period"), F.lit(0.0).alias("close"), F.lit(0.0).alias("volume"))
+    land = lambda part: part.write.mode("append").parquet(landed)
+    land(bars.limit(0))
+    parts = [b.filter(F.col("slice") == k).drop("slice").repartition(SLICE_FILES) for k in range(slices)] + [closing.filter("period IS NOT NULL")]
+    stream = spark.readStream.schema(bars.schema).parquet(landed)
+    done = SK.drained(SS.streaming_indicators(stream, lateness=f"{LATE_DAYS} days"), "indicators", [partial(land, p) for p in parts])
+    return done.select("series_id", "period", "close", "ema", "obv", "rsi")

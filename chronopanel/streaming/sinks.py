@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +11,22 @@ from ..operators.metrics import scores_from_confusion
 from ..session import scratch_path
 
 
-def drained(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over everything that is available, into files, and read them back."""
+def drained(stream: DataFrame, label: str, landings: Iterable[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+    """Run a stream over everything that is available, into files, and read them back.
+
+    Each of ``landings`` adds input; the stream goes on where it was after each of them, so files that land together are one
+    micro-batch, however many there are.
+    """
     spark = stream.sparkSession
     path, progress = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
-    run = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", progress)
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+    for land in landings:
+        land()
+        run = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", path).option("checkpointLocation", progress)
+            .trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
