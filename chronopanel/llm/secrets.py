@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Sequence
 from math import log2
 
 import pandas as pd
@@ -26,10 +28,11 @@ CLASSES = (
     ("hex", re.compile(r"[0-9A-Fa-f]{%d,}" % WINDOW), 3.0),
     ("base64", re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % WINDOW), 3.8),
 )
-#: Candidates that match any of these are not secrets.
+#: Windows that share a character with a match of any of these are not secrets; nor are those that begin right behind it, if
+#: its number is 1.
 ALLOWED = (
-    re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
-    re.compile(r"example|sample|placeholder|dummy|changeme|abcdefgh|0123456789", re.IGNORECASE),
+    (re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"), 0),
+    (re.compile(r"example|sample|placeholder|dummy|changeme|abcdefgh|0123456789", re.IGNORECASE), 1),
 )
 _WEIGHT = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
@@ -46,8 +49,32 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def dense_runs(string: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Unions of the windows that reach ``threshold`` bits per character and hold both a letter and a digit.
+def merged(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as ranges in order that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``taken``, as ``merged`` gives it, leaves of a range."""
+    out = []
+    for s, e in taken[max(bisect_right(taken, (start,)) - 1, 0) :]:
+        if s >= end:
+            break
+        if s > start:
+            out.append((start, s))
+        start = max(start, e)
+    return [*out, (start, end)] if start < end else out
+
+
+def dense_runs(string: str, threshold: float, window: int = WINDOW, allowed: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Unions of the windows that reach ``threshold`` bits per character, hold both a letter and a digit and share no character
+    with the ranges ``allowed``, as ``merged`` gives them.
 
     The window slides by one character: only the counts of the one that leaves and the one that enters change.
     """
@@ -55,6 +82,7 @@ def dense_runs(string: str, threshold: float, window: int = WINDOW) -> list[tupl
     mass, digits, letters = 0.0, 0, 0
     runs: list[list[int]] = []
     least = log2(window) - threshold
+    at = 0
     for i, ch in enumerate(string):
         if i >= window:
             old = string[i - window]
@@ -70,6 +98,10 @@ def dense_runs(string: str, threshold: float, window: int = WINDOW) -> list[tupl
         letters += ch.isalpha()
         if i >= window - 1 and digits and letters and mass <= least * window + 1e-9:
             start = i - window + 1
+            while at < len(allowed) and allowed[at][1] <= start:
+                at += 1
+            if at < len(allowed) and allowed[at][0] <= i:
+                continue
             if runs and start <= runs[-1][1]:
                 runs[-1][1] = i + 1
             else:
@@ -78,16 +110,23 @@ def dense_runs(string: str, threshold: float, window: int = WINDOW) -> list[tupl
 
 
 def entropy_spans(text: str, base: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
-    """Dense runs that no base span or earlier class covers."""
+    """Dense runs, less what base spans or runs of an earlier class cover; the parts that are left count one by one."""
     out: list[tuple[str, int, int, int]] = []
+    widest = CLASSES[-1][1]  # holds the characters of all classes
+    candidates = [
+        (c.span(), merged([(m.start(), m.end() + behind) for a, behind in ALLOWED for m in a.finditer(text, *c.span())]))
+        for c in widest.finditer(text)
+    ]
+    taken = merged([x[1:3] for x in base]) if candidates else []
     for _, pattern, threshold in CLASSES:
-        for m in pattern.finditer(text):
-            if any(a.search(m.group()) for a in ALLOWED):
-                continue
-            for s, e in dense_runs(m.group(), threshold):
-                s, e = s + m.start(), e + m.start()
-                if not any(s < x[2] and x[1] < e for x in (*base, *out)):
-                    out.append(("entropy", s, e, s))
+        found: list[tuple[int, int]] = []
+        for span, allowed in candidates:
+            for m in pattern.finditer(text, *span):
+                at = m.start()
+                for s, e in dense_runs(m.group(), threshold, allowed=[(a - at, b - at) for a, b in allowed]):
+                    found += outside(s + at, e + at, taken)
+        out += [("entropy", s, e, s) for s, e in found]
+        taken = merged([*taken, *found])
     return out
 
 
@@ -122,17 +161,17 @@ def cleared(text: str | None, mask: str = "[SECRET]") -> str | None:
     """The text with every secret replaced; overlapping ones count as one."""
     if text is None:
         return None
-    merged: list[list[int]] = []
+    joined: list[list[int]] = []
     for _, _, end, start in sorted(spans(text), key=lambda s: (s[3], s[2])):
-        if merged and start < merged[-1][1]:
-            merged[-1][1] = max(end, merged[-1][1])
+        if joined and start < joined[-1][1]:
+            joined[-1][1] = max(end, joined[-1][1])
         else:
-            merged.append([start, end])
+            joined.append([start, end])
     out, at = [], 0
-    for s, e in merged:
+    for s, e in joined:
         out += [text[at:s], mask]
         at = e
-    return "".join([*out, text[at:]]) if merged else text
+    return "".join([*out, text[at:]]) if joined else text
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:

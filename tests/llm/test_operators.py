@@ -399,6 +399,38 @@ def test_masks(spark):
     assert (out[0].n, out[1].n, out[2].n) == (5, 8, len(out[2].text))
 
 
+def plain_entropy(text):
+    """Places in windows that share no character with an allowed match, begin right behind no allowed word and are dense; base
+    spans are taken out."""
+    covered = set()
+    (uuid, _), (word, _) = secrets.ALLOWED
+    for _, pattern, threshold in secrets.CLASSES:
+        for c in pattern.finditer(text):
+            for i in range(c.start(), c.end() - 23):
+                w = text[i : i + 24]
+                bits = -sum(w.count(x) / 24 * np.log2(w.count(x) / 24) for x in set(w))
+                near = any(m.start() < i + 24 and i < m.end() for m in uuid.finditer(text)) or any(m.start() < i + 24 and i <= m.end() for m in word.finditer(text))
+                if not near and bits >= threshold - 1e-9 and any(x.isdigit() for x in w) and any(x.isalpha() for x in w):
+                    covered |= set(range(i, i + 24))
+    return covered - {p for _, a, b in plain_base(text) for p in range(a, b)}
+
+
+def test_secrets_glued_to_others(spark):
+    uuid, ident = SECRETS[13], "0a1b2c3d4e5f60718293a4b5"
+    for glued in (f"{KEY}-{ident}", f"{ident}_{KEY}", f"{KEY}/{ident}/{KEY}", f"{KEY}-token=aaaaaa", f"sample/{KEY}", f"{KEY}-0123456789", f"a/{uuid}/{KEY}", f"{uuid}{KEY}", f"x=example&key/{KEY}"):
+        found = {p for k, a, b, _ in secrets.spans(glued) for p in range(a, b)}
+        at = glued.index(KEY)
+        assert set(range(at, at + 24)) <= found, glued
+        assert KEY not in secrets.cleared(glued) and ident not in secrets.cleared(glued)
+    r = random.Random(12)
+    parts = [KEY, ident, uuid, "sample", "0123456789", "token=abcdef", "donaudampf", "/", "-", "_", " ", "=", "AKIA" + "B7" * 9, "0123ABCDef" * 3]
+    for _ in range(300):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        entropy = [(a, b) for k, a, b, _ in secrets.spans(text) if k == "entropy"]
+        assert {p for a, b in entropy for p in range(a, b)} == plain_entropy(text), text
+        assert sum(b - a for a, b in entropy) == len(plain_entropy(text))
+
+
 # --- language models ----------------------------------------------------------------------
 
 
