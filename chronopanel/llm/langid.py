@@ -159,6 +159,16 @@ def tagged(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text"
     return held.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
 
 
+def lettered(text_col):
+    """Whether a text has a letter; a null has none."""
+
+    @F.pandas_udf("boolean")
+    def found(column: pd.Series) -> pd.Series:
+        return pd.Series([isinstance(t, str) and _WORDS.search(t) is not None for t in column], dtype=bool)
+
+    return found(text_col)
+
+
 def text_slices(column: pd.Series, limit: int = SLICE_BYTES) -> Iterator[list[str]]:
     held, size = [], 0
     for text in column:

@@ -14,8 +14,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without any letter go.  ``lang`` is filled in where it was null."""
+    """Documents with a letter.  ``lang`` is filled in where it was null; if no language could be learned it stays as it is."""
     known = langid.learned(docs)
+    if not known:
+        return docs.filter(langid.lettered("text")).select(*COLUMNS)
     # the prediction travels with its row: rows need no key
     return langid.tagged(docs, known).filter(F.col("lang_pred") != langid.UNKNOWN).withColumn(
         "lang", F.coalesce("lang", "lang_pred")

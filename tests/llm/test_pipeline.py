@@ -46,5 +46,15 @@ def test_pipeline(spark):
     assert max(sequences.values()) <= 2048
 
 
+def test_documents_stay_where_no_language_is_known(spark):
+    rows = [(0, "a clean text", None), (1, "123 !", None), (2, None, None), (3, "", "en"), (4, "日本語", None)]
+    held = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rows.append((held, "labelled but held out", "en"))
+    docs = spark.createDataFrame([(i, t, lang, "s", 3) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language(spark, docs, SF)
+    assert tuple(out.columns) == corpus_pipeline.COLUMNS
+    assert sorted((x.doc_id, x.lang) for x in out.collect()) == [(0, None), (4, None), (held, "en")]
+
+
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_duplicates", "near_duplicates", "secrets", "packing"]
