@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -141,6 +142,15 @@ def linked(distinct: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(compare, "u long, v long")
 
 
+def _classes(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints per row, and (fp, low, component) per distinct fingerprint: its smallest id and its component."""
+    prints = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    nodes = stored(components(linked(classes.select("fp"), radius)), "nodes")
+    joined = classes.join(nodes, F.col("fp") == F.col("node"), "left")
+    return prints, joined.select("fp", "low", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row: the smallest doc_id that links of at most ``radius`` differing bits reach.
 
@@ -149,17 +159,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
     alone (then it is null); an empty table gives no rows; other columns are ignored.
     """
     c = F.col
-    prints = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    nodes = stored(components(linked(classes.select("fp"), radius)), "nodes")
-    named = classes.join(nodes, c("fp") == c("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    prints, named = _classes(docs, shingle, radius, id_col, text_col)
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     table = stored(named.join(lowest, "component").select(c("fp").alias("of"), "component_id"), "components")
     return prints.join(table.hint("merge"), c("fp") == c("of")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns; rows that share an id stay or go together."""
-    named = near_duplicates(docs, shingle, radius, id_col, text_col)
-    kept = stored(named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "representatives")
-    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    """One row of ``docs`` for each component, with all its columns: one that has its smallest id; nulls come last.
+
+    Rows whose ids repeat are told apart by their fingerprint, which is computed again for them; all others are found by
+    their id alone.
+    """
+    c = F.col
+    prints, named = _classes(docs, shingle, radius, id_col, text_col)
+    first = named.groupBy("component").agg(F.min(F.struct(c("low").isNull().alias("none"), "low", "fp")).alias("first"))
+    kept = stored(first.select(c("first.low").alias("_id"), c("first.fp").alias("_fp")), "representatives")
+    many = stored(prints.groupBy(c("doc_id").alias("_many")).count().filter("count > 1").select("_many"), "repeated-ids")
+    same = docs[id_col].eqNullSafe(c("_many"))
+    single = docs.join(many, same, "left_anti")
+    single = single.join(kept.select("_id").hint("merge"), single[id_col].eqNullSafe(c("_id")), "left_semi")
+
+    @F.pandas_udf("long")
+    def printed(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+
+    several = docs.join(many, same, "left_semi").withColumn("_print", printed(text_col))
+    several = several.join(kept, several[id_col].eqNullSafe(c("_id")) & (c("_print") == c("_fp")), "left_semi")
+    return single.union(several.dropDuplicates([id_col, "_print"]).drop("_print"))

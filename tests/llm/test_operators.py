@@ -329,6 +329,22 @@ def test_simhash_components(spark):
     assert sorted((str(x.doc_id), str(x.component_id)) for x in odd) == [("7", "7"), ("7", "7"), ("None", "None"), ("None", "None")]
 
 
+def test_one_document_of_each_group_where_ids_repeat(spark):
+    near = words(1, 120, 200)
+    copy = near.split()
+    copy[60] = "changed"
+    far, third = words(2, 120, 200), words(3, 120, 200)
+    texts = [near, " ".join(copy), far, near, third, third, far + " end", near]
+    ids = [7, 7, 7, None, None, None, 9, 8]
+    prints = [plain_print(t, 4) for t in texts]
+    group = [min(j for j in range(len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 8) for i in range(len(texts))]
+    assert sorted(set(group)) == [0, 2, 4]
+    kept = simhash.one_of_each(table(spark, texts, ids=ids), 4, 8)
+    rows = [(x.doc_id, x.text) for x in kept.collect()]
+    assert sorted(group[texts.index(t)] for _, t in rows) == [0, 2, 4]
+    assert sorted(str(i) for i, _ in rows) == ["7", "7", "None"] and set(rows) <= set(zip(ids, texts))
+
+
 def test_tiles_miss_no_pair(spark):
     r = np.random.default_rng(8)
     base = r.integers(0, 2**63, 300, dtype=np.int64)
