@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,31 +182,18 @@ def links(classes: DataFrame, index: Index, dims: int, cosine: float) -> DataFra
     return pairs.mapInArrow(compare, "u long, v long, n long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row: links join rows with equal labels and a cosine of at least ``cosine``.
-
-    Equal vectors of a label are one node with its number of copies.  Lists and codebooks are fitted on at most ``SAMPLE``
-    vectors; every vector is indexed.  Vectors that are null, zero, without label, with null or non-finite components or of
-    another length than most have no links.  Rows that repeat an id are separate vectors; an empty table gives no rows; other
-    columns are ignored.
-    """
+def _of_length(rows: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """``near_vectors`` of linkable rows whose vectors all have ``dims`` components."""
     c = F.col
-    rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[label_col].alias("label"), vectors[vector_col].alias("vector"))
-    rows = rows.withColumn("fine", linkable("label", "vector"))
-    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), c("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    common = rows.filter("fine").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return alone(rows)
-    fine = c("fine") & (F.size("vector") == common.d)
     classes = stored(
-        rows.filter(fine).groupBy("label", "vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+        rows.groupBy("label", "vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
         .withColumn("key", F.monotonically_increasing_id()),
         "classes",
     )
     size, labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
     sample = classes.orderBy(F.xxhash64("vector"), "key").select("vector").limit(SAMPLE).collect()
     index = Index(unit(np.array([r.vector for r in sample], np.float64)), min(MOST_LISTS, max(1, math.isqrt(size // labels) // 4)))
-    found = stored(links(classes, index, common.d, cosine), "found")
+    found = stored(links(classes, index, dims, cosine), "found")
     counts = found.filter("v IS NULL").groupBy(c("u").alias("of")).agg(F.sum("n").alias("n"))
     nodes = components(found.filter("v IS NOT NULL").select("u", "v"))
     named = classes.select("key", "low", "copies").join(nodes, c("key") == c("node"), "left").withColumn("component", F.coalesce("component", "key"))
@@ -214,5 +202,25 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         c("key").alias("class"), (F.coalesce("n", F.lit(0)) + c("copies") - 1).alias("n_links"), "component_id"
     )
     table = stored(classes.select("label", "vector", c("key").alias("class")).join(named, "class").drop("class"), "classes-named")
-    linked = rows.filter(fine).join(table, ["label", "vector"]).select("vec_id", "n_links", "component_id", c("vec_id").eqNullSafe(c("component_id")).alias("kept"))
-    return linked.union(alone(rows.filter(~fine)))
+    return rows.join(table, ["label", "vector"]).select("vec_id", "n_links", "component_id", c("vec_id").eqNullSafe(c("component_id")).alias("kept"))
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) per row: links join rows with equal labels and a cosine of at least ``cosine``.
+
+    Equal vectors of a label are one node with its number of copies.  Lists and codebooks are fitted on at most ``SAMPLE``
+    vectors of a length; every vector is indexed.  Vectors that are null, zero, without label or with null or non-finite
+    components have no links.  Vectors of different lengths are never linked: each length has an index of its own.  Rows that
+    repeat an id are separate vectors; an empty table gives no rows; other columns are ignored.
+    """
+    c = F.col
+    rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[label_col].alias("label"), vectors[vector_col].alias("vector"))
+    rows = rows.withColumn("fine", linkable("label", "vector"))
+    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), c("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # a vector that is the only one of its length has none to meet
+    lengths = sorted(r.d for r in rows.filter("fine").groupBy(F.size("vector").alias("d")).count().filter("count > 1").collect())
+    if not lengths:
+        return alone(rows)
+    length = F.size("vector")
+    parts = [_of_length(rows.filter(c("fine") & (length == d)), d, cosine) for d in lengths]
+    return reduce(DataFrame.union, [*parts, alone(rows.filter(~(c("fine") & length.isin(lengths))))])

@@ -289,6 +289,24 @@ def test_every_near_vector_is_linked(spark):
     assert [(g.n_links, g.component_id) for g in quantised.near_vectors(twice).collect()] == [(1, 1), (1, 1)]
 
 
+def test_vectors_of_every_length_are_linked(spark):
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for dims in (8, 24, 5):
+        x = (r.normal(size=(10, dims))[r.integers(0, 10, 60)] + r.normal(size=(60, dims)) * 0.05).astype(np.float32)
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        near = u @ u.T >= 0.93
+        np.fill_diagonal(near, False)
+        comp = np.arange(60)
+        while ((low := np.array([min(comp[i], comp[near[i]].min(initial=60)) for i in range(60)])) != comp).any():
+            comp = low
+        at = len(rows)
+        want |= {at + i: (near[i].sum(), at + comp[i], comp[i] == i) for i in range(60)}
+        rows += [(at + i, [float(c) for c in v], 1, 5) for i, v in enumerate(x)]
+    got = quantised.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, key long").repartition(3), 0.93)
+    assert {g.vec_id: (g.n_links, g.component_id, g.kept) for g in got.collect()} == want and all(any(want[k][0] for k in range(s, s + 60)) for s in (0, 60, 120))
+
+
 # --- SimHash ------------------------------------------------------------------------------
 
 
