@@ -1,7 +1,7 @@
 """Model, cross-validation and search queries over the whole labelled panel.
 
 Learners are not expressible in SQL, so these report scores and are checked by
-tests.  Forest sizes are small here; the catalogued sizes are in ``plans.models``.
+tests.  Forests and logistic models have their catalogued sizes, boosting has few rounds here.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .base import line_bars, query
 W = SeriesWindow()
 FEATS = ["return_1d", "return_7d", "volatility_7d", "volatility_30d", "range_pct", "body_pct", "volume_z_14d"]
 GROUPS = {"all": FEATS, "returns": FEATS[:5]}
-QUICK = {n: s.sized(4 if s.family == "boost" else 8, 4) if s.family != "logistic" else s.sized(20) for n, s in CLASSIFIERS.items()}
-QUICK_REG = {n: s.sized(4 if s.family == "boost_reg" else 8, 4) for n, s in REGRESSORS.items()}
+QUICK = {n: s.sized(4, 4) if s.family == "boost" else s for n, s in CLASSIFIERS.items()}
+QUICK_REG = {n: s.sized(4, 4) if s.family == "boost_reg" else s for n, s in REGRESSORS.items()}
 
 
 def model_rows(spark, sf_dir, regimes=False):
@@ -118,7 +118,7 @@ def _(spark, sf_dir):
 @query("seed_stability", "M21 A09")
 def _(spark, sf_dir):
     df = model_rows(spark, sf_dir)
-    return RS.seed_stability(df, "target_move_dynamic", FEATS, QUICK["random_forest"], folds_of(df), seeds=(11, 42))
+    return RS.seed_stability(df, "target_move_dynamic", FEATS, QUICK["random_forest"], folds_of(df))
 
 
 @query("post_analysis", "X05 M17 M23 M24")

@@ -185,3 +185,11 @@ def test_two_stage_without_direction_models(spark):
     )
     # every move goes up, so no direction model can be fitted in any fold
     assert RS.two_stage(df, ["a", "b"], [CLASSIFIERS["logistic"].sized(3)], 2) == {}
+
+
+def test_queries_use_catalogued_forests_and_logistic_models():
+    from chronopanel.bindings import learning
+    from chronopanel.plans.models import CLASSIFIERS, REGRESSORS
+
+    for used, catalogue in ((learning.QUICK, CLASSIFIERS), (learning.QUICK_REG, REGRESSORS)):
+        assert all(used[n] == s for n, s in catalogue.items() if not s.family.startswith("boost"))
