@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, langid, lm, packing, quantised, radix, secrets, simhash, urlfilter, warc
+from . import bpe, langid, lm, packing, quantised, radix, repair, repeats, secrets, simhash, urlfilter, warc, whitening
 from .common import read
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -147,13 +147,42 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(PACKING_MODEL))
 
 
+def op11_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+# bytes as two hexadecimal digits, so that DuckDB's string functions cut them
+OP11_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+spot AS (SELECT r, h, unnest(range(greatest(CAST(length(h) // 2 - 399 AS BIGINT), 0))) AS i FROM d),
+w AS MATERIALIZED (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM spot),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) AS often USING (m)),
+seam AS (SELECT *, CAST(coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS INTEGER) AS opens FROM hit),
+isle AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS g FROM seam),
+span AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM isle GROUP BY r, g),
+part AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM span),
+cut AS (SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS stop, sum(b - a) AS removed, count(*) AS n
+  FROM part JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+def op13_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_transactions, op2_radix_duplicates, op3_bpe_replay, op4_rank_order_language, op5_temporal_url_filter, op6_quantised_vectors,
         op7_simhash_tiles, op8_secret_windows, op9_cross_entropy_difference, op10_best_fit_packing,
+        op11_prefix_free_repeats, op12_conversation_repair, op13_whitened_vectors,
     )
 }
 SQL = {
     "op1_warc_transactions": OP1_SQL, "op2_radix_duplicates": OP2_SQL, "op5_temporal_url_filter": OP5_SQL, "op6_quantised_vectors": OP6_SQL,
+    "op11_prefix_free_repeats": OP11_SQL,
 }
