@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.ewm import span_alpha
 from ..session import scratch_path, stored
 from ..streaming import bars as SB
+from ..streaming import labels as SL
 from ..streaming import sinks as SK
 from ..streaming import stateful as SS
 from .base import out, query, table
@@ -95,10 +96,11 @@ SLICE_FILES = 4
 @query(
     "streaming_indicators", "T04",
     out(
-        f"""SELECT * FROM (SELECT nb.series_id, nb.hour AS period, nb.close, e.y AS ema, sum(coalesce(sign(nb.close - pc), 0) * volume) OVER (PARTITION BY nb.series_id ORDER BY hour) AS obv,
-             CASE WHEN rn > 14 AND e.gain + e.loss > 0 THEN 100 * e.gain / (e.gain + e.loss) END AS rsi
-           FROM nb JOIN e USING (series_id, rn)) WHERE period < (SELECT max(hour) - INTERVAL {LATE_DAYS} DAY FROM b)""",
-        "series_id", "period", "close ema obv rsi", ctes=IND,
+        """SELECT nb.series_id, nb.hour AS period, nb.close, e.y AS ema, sum(coalesce(sign(nb.close - pc), 0) * volume) OVER (PARTITION BY nb.series_id ORDER BY hour) AS obv,
+             CASE WHEN rn > 14 AND e.gain + e.loss > 0 THEN 100 * e.gain / (e.gain + e.loss) END AS rsi,
+             CASE WHEN rn >= 20 THEN avg(nb.close) OVER (PARTITION BY nb.series_id ORDER BY hour ROWS 19 PRECEDING) END AS sma
+           FROM nb JOIN e USING (series_id, rn)""",
+        "series_id", "period", "close ema obv rsi sma", ctes=IND,
     ),
 )
 def _(spark, sf_dir):
@@ -120,4 +122,64 @@ def _(spark, sf_dir):
     parts = [b.filter(F.col("slice") == k).drop("slice").repartition(SLICE_FILES) for k in range(slices)] + [closing.filter("period IS NOT NULL")]
     stream = spark.readStream.schema(bars.schema).parquet(landed)
     done = SK.drained(SS.streaming_indicators(stream, lateness=f"{LATE_DAYS} days"), "indicators", [partial(land, p) for p in parts])
-    return done.select("series_id", "period", "close", "ema", "obv", "rsi")
+    return done.select("series_id", "period", "close", "ema", "obv", "rsi", "sma")
+
+
+#: Days after which a label is looked for no longer; labels come up to 28 days after their prediction, those of every seventh
+#: volume later still, and count as unknown.
+HORIZON_DAYS, BATCH_DAYS, LONGEST_DAYS = 30, 400, 45
+DELAY = f"CASE WHEN units % 7 = 0 THEN {LONGEST_DAYS} ELSE 1 + units % 28 END"
+
+
+@query(
+    "streaming_late_labels", "T03 E11",
+    out(
+        f"""WITH one AS (SELECT date, y2, CASE WHEN move_p >= 0.5 THEN 1 ELSE 0 END AS hit, cents // 100 % 7 = 0 AS never
+              FROM pred WHERE model = 'mc'),
+            cum AS (SELECT d.date AS upto, o.y2, o.hit FROM (SELECT DISTINCT date FROM one WHERE NOT never) d JOIN one o ON o.date <= d.date AND NOT o.never),
+            lost AS (SELECT d.date AS upto, count(*) FILTER (never) AS n FROM (SELECT DISTINCT date FROM one WHERE NOT never) d JOIN one o ON o.date <= d.date GROUP BY 1)
+            SELECT s.upto AS date, samples, lost.n AS unlabelled, accuracy, balanced_accuracy, macro_f1 FROM ({score_sql('cum', 'upto', 'y2', 'hit')}) s JOIN lost USING (upto)""",
+        "", "date", "accuracy balanced_accuracy macro_f1", "samples unlabelled", ctes=PRED,
+    ),
+)
+def _(spark, sf_dir):
+    """Predictions and labels are files of two streams; the label of a prediction lands days after it, in another file.
+
+    The review is that of the batch queries: cumulative scores up to each day with a known label, and how many predictions
+    up to then never got one.
+    """
+    p = stored(
+        predictions(spark, sf_dir).filter(F.col("model") == "mc").select(
+            "series_id", "date", (F.col("move_p") >= 0.5).cast("int").alias("pred"), F.col("y2").alias("y"), F.expr("cents DIV 100").alias("units")
+        ),
+        "predicted",
+    )
+    made = F.col("date").cast("timestamp").alias("made")
+    said = p.select("series_id", "date", "pred", made)
+    truth = p.select("series_id", "date", "y", (F.col("date").cast("timestamp") + F.make_dt_interval(F.expr(DELAY))).alias("known"))
+    first, last = p.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return SK.cumulative_review(p.groupBy("date", "y", "pred").agg(F.count(F.lit(1)).alias("n")))
+    paths = scratch_path(spark, "said"), scratch_path(spark, "truth")
+    slice_of = lambda c: F.floor(F.datediff(c, F.lit(first)) / BATCH_DAYS)
+    # far ahead, so that the watermarks pass all horizons; of no series (a null key would be filtered before the watermark sees it)
+    beyond = F.lit(last).cast("timestamp") + F.make_dt_interval(F.lit(4 * HORIZON_DAYS))
+    closing = {"series_id": F.lit("no series"), "date": beyond, "made": beyond, "known": beyond}
+    none = F.lit(None)
+    ends = [
+        d.limit(1).select(*[F.concat(closing[c], F.lit(f" {i}")).alias(c) if c == "series_id" else closing.get(c, none).cast(d.schema[c].dataType).alias(c) for c in d.columns])
+        for i, d in enumerate((said, truth))
+    ]
+    for d, path in zip((said, truth), paths):
+        d.limit(0).write.parquet(path)
+
+    def land(k):
+        for d, path, at, end in zip((said, truth), paths, ("made", "known"), ends):
+            part = end if k is None else d.filter(slice_of(F.col(at)) == k)
+            part.write.mode("append").parquet(path)
+
+    slices = ((last - first).days + LONGEST_DAYS) // BATCH_DAYS + 1
+    streams = [spark.readStream.schema(d.schema).parquet(path) for d, path in zip((said, truth), paths)]
+    joined = SL.late_labels(*streams, ["series_id", "date"], "made", "known", f"{HORIZON_DAYS} DAYS")
+    done = SK.drained(joined, "late-labels", [partial(land, k) for k in [*range(slices), None]])
+    return SK.cumulative_review(done.groupBy("date", "y", "pred").agg(F.count(F.lit(1)).alias("n")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import scores_from_confusion
@@ -46,13 +46,24 @@ def review_stream(stream: DataFrame, path: str, progress: str) -> None:
 
 
 def review_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Cumulative scores up to each labelled day (one row per calendar day)."""
-    from pyspark.sql import Window
-
+    """Cumulative scores up to each labelled day (one row per calendar day) from the counts of all batches."""
     counts = spark.read.parquet(path).groupBy("date", "y", "pred").agg(F.sum("n").alias("n"))
-    days = counts.select("date").distinct()
-    cells = counts.select("y", "pred").distinct()
-    grid = days.join(F.broadcast(cells)).join(counts, ["date", "y", "pred"], "left")
+    return cumulative_review(counts).drop("unlabelled")
+
+
+def cumulative_review(counts: DataFrame) -> DataFrame:
+    """Cumulative scores up to each labelled day, and how many predictions up to it have no label.
+
+    ``counts``: date, y (NULL where no label came), pred, n.  Windows hold one row per calendar day and cell.
+    """
+    counts = counts.withColumn("y", F.col("y").cast("int"))
+    labelled = counts.filter(F.col("y").isNotNull())
+    days = labelled.select("date").distinct()
+    cells = labelled.select("y", "pred").distinct()
+    grid = days.join(F.broadcast(cells)).join(labelled, ["date", "y", "pred"], "left")
     running = Window.partitionBy("y", "pred").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     total = grid.withColumn("n", F.coalesce(F.sum("n").over(running), F.lit(0))).filter(F.col("n") > 0)
-    return scores_from_confusion(total, ["date"])
+    lost = counts.groupBy("date").agg(F.sum(F.when(F.col("y").isNull(), F.col("n")).otherwise(0)).alias("n"))
+    so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    lost = lost.select("date", F.sum("n").over(so_far).alias("unlabelled"))
+    return scores_from_confusion(total, ["date"]).join(lost, "date")
