@@ -593,3 +593,65 @@ ta_query(
     BARS + NB + f", adl AS (SELECT series_id, rn, {AD_SQL} AS ad FROM nb)"
     + seeded("a", "adl", "ad", E.span_alpha(3), 3) + seeded("b", "adl", "ad", E.span_alpha(10), 10),
 )
+
+
+# --- the same on a panel without a bound on its series -----------------------------------
+
+#: Rows of a block: few, so that every series of the table runs through many.
+SMALL_BLOCK = 64
+HOUR = SeriesWindow(("series_id",), "hour")
+HB = f"""hb AS ({EVENT_BARS}), nb AS (SELECT *, row_number() OVER s AS rn, lag(close) OVER s AS pc FROM hb WINDOW s AS (PARTITION BY series_id ORDER BY hour))"""
+HOURLY = ["ema_20", "macd", "macd_signal", "macd_hist", "tema_20", "rsi_14", "atr_14", "chaikin_ad", "obv", "ad", "sma_50", "willr_14"]
+HS = "(PARTITION BY series_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    "hourly_indicators", "W36 W37 W39 W40 W41 W44 W45 W47 W48 W49",
+    out(
+        f"""SELECT nb.series_id, nb.hour, a.y AS ema_20, l.macd, g.y AS macd_signal, l.macd - g.y AS macd_hist, 3 * a.y - 3 * b.y + c.y AS tema_20,
+              100 * u.y / nullif(u.y + d.y, 0) AS rsi_14, t.y AS atr_14, f.y - s.y AS chaikin_ad, fl.obv, fl.ad,
+              {enough('close', 50, 50, 'avg(close) OVER {w}', order='nb.rn', key='nb.series_id')} AS sma_50,
+              {enough('close', 14, 14, '-100 * (max(high) OVER {w} - close) / nullif(max(high) OVER {w} - min(low) OVER {w}, 0)', order='nb.rn', key='nb.series_id')} AS willr_14
+            FROM nb JOIN a USING (series_id, rn) JOIN b USING (series_id, rn) JOIN c USING (series_id, rn) JOIN l USING (series_id, rn) JOIN g USING (series_id, rn)
+              JOIN u USING (series_id, rn) JOIN d USING (series_id, rn) JOIN t USING (series_id, rn) JOIN f USING (series_id, rn) JOIN s USING (series_id, rn) JOIN fl USING (series_id, rn)""",
+        "series_id", "hour", HOURLY, digits=4,
+        ctes=HB
+        + f""", mv AS (SELECT series_id, rn, CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss,
+              CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM nb),
+            fl AS (SELECT series_id, rn, sum(coalesce(sign(close - pc), 0) * volume) OVER {HS} AS obv,
+              sum(coalesce((2 * close - low - high) / nullif(high - low, 0), 0) * volume) OVER {HS} AS ad FROM nb)"""
+        + seeded("a", "nb", "close", E.span_alpha(20), 20) + seeded("b", "a", "y", E.span_alpha(20), 20) + seeded("c", "b", "y", E.span_alpha(20), 20)
+        + seeded("f12", "nb", "close", E.span_alpha(12), 12) + seeded("s26", "nb", "close", E.span_alpha(26), 26)
+        + ", l AS (SELECT f12.series_id, f12.rn, f12.y - s26.y AS macd FROM f12 JOIN s26 USING (series_id, rn))" + seeded("g", "l", "macd", E.span_alpha(9), 9)
+        + seeded("u", "mv", "gain", 1 / 14, 14) + seeded("d", "mv", "loss", 1 / 14, 14) + seeded("t", "mv", "tr", 1 / 14, 14)
+        + seeded("f", "fl", "ad", E.span_alpha(3), 3) + seeded("s", "fl", "ad", E.span_alpha(10), 10),
+    ),
+    digits=4,
+)
+def _(spark, sf_dir):
+    """Classic indicators of an intraday panel, carried from block to block."""
+    done = TA.indicators_of_fine_panel(event_bars(spark, sf_dir), HOUR, F.to_date("hour"), block_rows=SMALL_BLOCK)
+    return done.select("series_id", "hour", *HOURLY)
+
+
+HOURLY_PRICE = [f"ema_gap_{s}d" for s in P.EMA_SPANS] + ["macd_pct", "macd_signal_pct", "volatility_21d", "drawdown_180d"]
+
+
+@query(
+    "hourly_price_features", "W06 W14 W16 W18 N03",
+    out(
+        "SELECT q.series_id, q.hour, " + ", ".join(f"q.close / e.m{s} - 1 AS ema_gap_{s}d" for s in P.EMA_SPANS)
+        + f""", (e.m12 - e.m26) / q.close AS macd_pct, g.sig / q.close AS macd_signal_pct,
+            {enough('r1', 21, 10, 'stddev_samp(r1) OVER {w}', order='q.rn', key='q.series_id')} AS volatility_21d,
+            {enough('close', 180, 90, 'close / max(close) OVER {w} - 1', order='q.rn', key='q.series_id')} AS drawdown_180d
+            FROM hr q JOIN means e USING (series_id, rn) JOIN sigs g USING (series_id, rn)""",
+        "series_id", "hour", HOURLY_PRICE,
+        ctes=HB + ", hr AS (SELECT *, close / pc - 1 AS r1 FROM nb)"
+        + recursion({f"m{s}": E.span_alpha(s) for s in (*P.EMA_SPANS, 12, 26)}, "nb")
+        + ", lines AS (SELECT series_id, rn, m12 - m26 AS macd FROM means)" + recursion({"sig": E.span_alpha(9)}, "lines", "macd", "sigs"),
+    ),
+)
+def _(spark, sf_dir):
+    """Price features of an intraday panel; blocks longer than the widest window."""
+    done = P.features_of_fine_panel(event_bars(spark, sf_dir), HOUR, F.to_date("hour"), block_rows=P.WINDOW_LOOKBACK + 13)
+    return done.select("series_id", "hour", *HOURLY_PRICE)

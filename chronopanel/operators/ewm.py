@@ -64,31 +64,42 @@ def ewm(
     steps: dict[str, Column] = {}
     decays: dict[str, Column] = {}
     for name, alpha in alphas.items():
-        rate = -math.log(1.0 - alpha)
-        scale = F.exp(-gap * rate) + F.lit(alpha)
-        decay = F.least(gap * rate + F.ln(scale), F.lit(LONGEST_STEP))
+        decay, step = transition(F.col(x), alpha, gap)
         decays[f"__d_{name}"] = F.when(absent | first, F.lit(0.0)).otherwise(decay)
-        steps[f"__s_{name}"] = (
-            F.when(absent, F.lit(0.0)).when(first, F.col(x)).otherwise(F.lit(alpha) * F.col(x) / scale)
-        )
+        steps[f"__s_{name}"] = F.when(absent, F.lit(0.0)).when(first, F.col(x)).otherwise(step)
     frame = base.withColumns({**decays, **steps})
     frame = frame.withColumns({f"__total_{n}": F.sum(f"__d_{n}").over(w.so_far) for n in alphas})
 
     known = F.col(prev).isNotNull() | F.col(x).isNotNull()
     for name in alphas:
-        # the steps of one mean stay together: they all run on a single sort by (keys, cut, order)
-        cut, decay = "__cut", f"__d_{name}"
-        frame = frame.withColumn(cut, F.floor(F.col(f"__total_{name}") / CUT))
-        so_far = Window.partitionBy(*w.keys, cut).orderBy(w.order).rowsBetween(Window.unboundedPreceding, 0)
-        across = Window.partitionBy(*w.keys).orderBy(cut, w.order)
-        frame = frame.withColumns(
-            {"__entry": F.first(decay).over(so_far), "__level": F.sum(decay).over(so_far) - F.first(decay).over(so_far)}
-        )
-        terms = F.sum(F.col(f"__s_{name}") * F.exp("__level")).over(so_far)
-        frame = frame.withColumn("__part", terms * F.exp(-F.col("__level")))
-        frame = frame.withColumn("__before", F.lag("__part").over(across))
-        frame = frame.withColumn("__before", F.first("__before").over(so_far))
-        carried = F.coalesce(F.col("__before") * F.exp(-(F.col("__level") + F.col("__entry"))), F.lit(0.0))
-        frame = frame.withColumn(name, F.when(known, F.col("__part") + carried))
+        frame = decayed_sum(frame, name, f"__s_{name}", f"__d_{name}", f"__total_{name}", w)
+        frame = frame.withColumn(name, F.when(known, F.col(name)))
     scratch = [f"__{k}_{n}" for n in alphas for k in ("d", "s", "total")]
-    return frame.drop(x, pos, prev, "__cut", "__entry", "__level", "__part", "__before", *scratch)
+    return frame.drop(x, pos, prev, *scratch)
+
+
+def decayed_sum(frame: DataFrame, name: str, step: str, decay: str, total: str, w: SeriesWindow) -> DataFrame:
+    """Add ``name``, the recursion y = exp(-decay) * y_prev + step from zero on; ``total`` is the running sum of ``decay``.
+
+    All windows of one sum run on a single sort by (keys, cut, order).
+    """
+    cut = "__cut"
+    frame = frame.withColumn(cut, F.floor(F.col(total) / CUT))
+    so_far = Window.partitionBy(*w.keys, cut).orderBy(w.order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*w.keys).orderBy(cut, w.order)
+    frame = frame.withColumns(
+        {"__entry": F.first(decay).over(so_far), "__level": F.sum(decay).over(so_far) - F.first(decay).over(so_far)}
+    )
+    terms = F.sum(F.col(step) * F.exp("__level")).over(so_far)
+    frame = frame.withColumn("__part", terms * F.exp(-F.col("__level")))
+    frame = frame.withColumn("__before", F.lag("__part").over(across))
+    frame = frame.withColumn("__before", F.first("__before").over(so_far))
+    carried = F.coalesce(F.col("__before") * F.exp(-(F.col("__level") + F.col("__entry"))), F.lit(0.0))
+    return frame.withColumn(name, F.col("__part") + carried).drop(cut, "__entry", "__level", "__part", "__before")
+
+
+def transition(value: Column, alpha: float, gap: Column) -> tuple[Column, Column]:
+    """(decay, step) of a known value after ``gap`` rows: the older weight decays for each of them, then both are normalised."""
+    rate = -math.log(1.0 - alpha)
+    scale = F.exp(-gap * rate) + F.lit(alpha)
+    return F.least(gap * rate + F.ln(scale), F.lit(LONGEST_STEP)), F.lit(alpha) * value / scale

@@ -94,13 +94,15 @@ def in_blocks(
     lookback: int | None,
     lookahead: int = 0,
     block_rows: int = BLOCK_ROWS,
+    keep_place: bool = False,
 ) -> DataFrame:
     """Run ``compute`` over overlapping row blocks instead of whole series.
 
     ``lookback``/``lookahead`` are the rows any output may depend on; the
     copies are dropped again, so each input row yields one output row.  A
     compute without bound (``lookback`` None: running totals, last known
-    values) is refused; ``so_far`` is made for it.
+    values) is refused; ``so_far`` and ``scan`` are made for it.
+    ``keep_place`` leaves the block and position of each row for a scan.
     """
     if lookback is None:
         raise ValueError("blocks need a bounded look-back; running totals and last known values come from so_far")
@@ -120,7 +122,8 @@ def in_blocks(
     )
     spread = placed.withColumn("__home", home).withColumn(BLOCK, F.explode(targets))
     result = compute(spread, w.with_keys(*w.keys, BLOCK))
-    return result.filter(F.col(BLOCK) == F.col("__home")).drop(BLOCK, "__home", POSITION)
+    result = result.filter(F.col(BLOCK) == F.col("__home")).drop("__home")
+    return result if keep_place else result.drop(BLOCK, POSITION)
 
 
 def so_far(
@@ -164,27 +167,6 @@ def so_far(
     return joined.withColumns(both).drop("__bucket", "__k_bucket", *[f"__k_{k}" for k in keys], *helpers)
 
 
-def largest_series(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the longest series (one small aggregate; decides the layout of a fine panel)."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(row["n"] or 0)
-
-
-def over_series(
-    df: DataFrame,
-    compute: Callable[[DataFrame, SeriesWindow], DataFrame],
-    w: SeriesWindow,
-    bucket: Column,
-    lookback: int,
-    lookahead: int = 0,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Whole-series windows when the longest series is proven to fit one block, else blocks."""
-    if largest_series(df, w.keys) <= block_rows:
-        return compute(df, w)
-    return in_blocks(df, compute, w, bucket, lookback, lookahead, block_rows)
-
-
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
     """Distinct dates, their 0-based index and the next date (at most one row per day)."""
     days = df.select(date).where(F.col(date).isNotNull()).distinct()

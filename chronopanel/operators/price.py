@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import rolling as R
 from ..functions.rolling import SeriesWindow
 from .ewm import ewm, ewm_lookback, span_alpha
+from .panel import BLOCK_ROWS, in_blocks
+from .scan import Mean, scan
 
 # Window lengths in rows.
 RETURN_LAGS = (1, 2, 3, 5, 7, 10, 14, 21, 30, 45, 60, 90, 180)
@@ -22,7 +24,8 @@ REGIME_WINDOW, REGIME_MIN = 365, 90
 
 # Rows a feature may look back: the regime rank over a 21-row volatility of a
 # 1-row return, or the memory of the slowest mean, whichever is longer.
-PRICE_LOOKBACK = max(REGIME_WINDOW + 21 + 1, ewm_lookback(span_alpha(max(EMA_SPANS))))
+WINDOW_LOOKBACK = REGIME_WINDOW + 21 + 1
+PRICE_LOOKBACK = max(WINDOW_LOOKBACK, ewm_lookback(span_alpha(max(EMA_SPANS))))
 
 
 def base_columns(df: DataFrame, w: SeriesWindow) -> DataFrame:
@@ -209,6 +212,30 @@ def price_features(df: DataFrame, w: SeriesWindow) -> DataFrame:
     return df
 
 
+def features_of_fine_panel(df: DataFrame, w: SeriesWindow, bucket: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The same features for panels finer than daily ones, whose series have no bound on their rows.
+
+    Plain windows run over overlapping row blocks, exponential means are carried from block to block; no task holds a whole
+    series, however short the longest one is.  ``bucket`` must grow with the order of ``w``.
+    """
+
+    def bounded(part: DataFrame, inside: SeriesWindow) -> DataFrame:
+        part = rolling_family(base_columns(part, inside), inside)
+        part = bollinger(simple_rsi(part, inside), inside)
+        part = vol_regime(price_volume_corr(part, inside), inside)
+        return ratios(returns(candles(part), inside))
+
+    spans = {f"__ema_{s}": span_alpha(s) for s in (*EMA_SPANS, 12, 26)}
+    rows = in_blocks(df, bounded, w, bucket, WINDOW_LOOKBACK, block_rows=block_rows, keep_place=True)
+    rows = scan(rows, {n: Mean("close", a) for n, a in spans.items()}, w)
+    rows = rows.withColumn("__macd", F.col("__ema_12") - F.col("__ema_26"))
+    rows = scan(rows, {"__sig": Mean("__macd", span_alpha(9))}, w)
+    gaps = {f"ema_gap_{s}d": N.ratio_change(F.col("close"), F.col(f"__ema_{s}")) for s in EMA_SPANS}
+    macds = {"macd_pct": N.safe_div("__macd", "close"), "macd_signal_pct": N.safe_div("__sig", "close")}
+    done = rows.withColumns({**gaps, **macds})
+    return done.select(*df.columns, *[n for n in feature_names() if not n.startswith("calendar_")])
+
+
 def feature_names() -> list[str]:
     """Names produced by ``price_features`` in a stable order."""
     names = [f"{p}_{n}d" for n in RETURN_LAGS for p in ("return", "log_return")]

@@ -14,6 +14,7 @@ from chronopanel.operators import external as X
 from chronopanel.operators import labels as L
 from chronopanel.operators import panel as PN
 from chronopanel.operators import price as P
+from chronopanel.operators import scan as SC
 from chronopanel.operators import technical as TA
 
 W = SeriesWindow()
@@ -162,12 +163,44 @@ def test_running_totals_equal_whole_series(panel):
     assert whole["total"].isna().any() and whole["known"].notna().any()
 
 
-def test_adaptive_layout(panel):
-    assert PN.largest_series(panel, ["series_id"]) == 420
-    keep = lambda d, w: d.withColumn("m", R.mean("close", 5, 1, w))
-    a = result(PN.over_series(panel, keep, W, F.trunc("date", "month"), 5, block_rows=100), "m")
-    b = result(keep(panel, W), "m")
-    pd.testing.assert_frame_equal(a, b)
+@pytest.mark.parametrize("block_rows", [1, 7, 64, 10_000])
+def test_scan_equals_whole_series(panel, block_rows):
+    """Seeded and unseeded means and totals with gaps, however the rows are cut."""
+    rows = panel.withColumns(
+        {"some": F.when(F.dayofmonth("date") % 7 != 3, F.col("close")), "rare": F.when(F.dayofmonth("date") == 9, F.col("close")), "never": F.lit(None).cast("double")}
+    )
+    whole = E.ewm(rows, "some", {"slow": 0.01, "fast": 0.9}, W)
+    whole = E.ewm(E.ewm(whole, "some", {"seeded": 0.1}, W, seed_rows=14), "rare", {"rarely": 0.3}, W, seed_rows=3)
+    whole = E.ewm(whole, "never", {"none": 0.3}, W).withColumn("total", F.sum("some").over(W.so_far))
+    items = {
+        "slow": SC.Mean("some", 0.01), "fast": SC.Mean("some", 0.9), "seeded": SC.Mean("some", 0.1, 14), "rarely": SC.Mean("rare", 0.3, 3),
+        "none": SC.Mean("never", 0.3), "total": SC.Total("some"),
+    }
+    placed = PN.in_blocks(rows, lambda d, w: d, W, F.trunc("date", "month"), 0, block_rows=block_rows, keep_place=True)
+    cut = SC.scan(placed, items, W)
+    names = list(items)
+    pd.testing.assert_frame_equal(result(whole, *names), result(cut, *names), rtol=1e-10, atol=1e-12)
+
+
+def test_scan_of_null_keys_and_no_rows(spark):
+    rows = spark.createDataFrame([(None, 1, 2.0), (None, 2, 4.0), ("a", 1, 1.0)], "series_id string, date int, close double")
+    w = SeriesWindow(("series_id",), "date")
+    placed = lambda d: PN.in_blocks(d, lambda x, _: x, w, F.col("date"), 0, block_rows=1, keep_place=True)
+    out = SC.scan(placed(rows), {"m": SC.Mean("close", 0.5), "t": SC.Total("close")}, w).collect()
+    assert {(r.series_id, r.date): (r.m, r.t) for r in out} == {(None, 1): (2.0, 2.0), (None, 2): (3.0, 6.0), ("a", 1): (1.0, 1.0)}
+    assert SC.scan(placed(rows.limit(0)), {"m": SC.Mean("close", 0.5)}, w).count() == 0
+
+
+def test_indicators_and_features_of_blocks_equal_whole_series(panel):
+    month = F.trunc("date", "month")
+    names = [n for n in TA.INDICATORS]
+    pd.testing.assert_frame_equal(
+        result(TA.indicators(panel, W), *names), result(TA.indicators_of_fine_panel(panel, W, month, 60), *names), rtol=1e-8, atol=1e-9
+    )
+    names = ["ema_gap_180d", "macd_signal_pct", "vol_regime_pctile", "rsi_14", "return_skew_90d", "bb_width"]
+    pd.testing.assert_frame_equal(
+        result(P.price_features(panel, W), *names), result(P.features_of_fine_panel(panel, W, month, 400), *names), rtol=1e-8, atol=1e-9
+    )
 
 
 def test_prefix_invariance(panel):
