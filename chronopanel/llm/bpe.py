@@ -53,9 +53,10 @@ def replay(words: list[bytes], merges: Merges) -> Ragged:
     """Token ids of every word.
 
     All words lie in one linked list of symbols.  An inverted index leads from each rank to the positions whose pair forms
-    that token; ranks are taken from a heap, lowest first, and a merge touches only the positions on either side.  Within a
-    word only the leftmost place of a rank is merged at a time, since the merge may form a pair of a lower rank that goes
-    first.  A word that is a token itself is one token.
+    that token; ranks are taken from a heap, lowest first, and a merge touches only the positions on either side.  All places
+    of a rank merge together, left to right where they overlap, so a long word costs no more than many short ones; where a
+    merge forms a pair of a lower rank, its word goes on from there later, since that pair goes first.  A word that is a
+    token itself is one token.
     """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer(b"".join(words), np.uint8)
@@ -94,17 +95,30 @@ def replay(words: list[bytes], merges: Merges) -> Ragged:
     gone = np.zeros(size, bool)
     while queue:
         rank = heapq.heappop(queue)
-        lists = index.pop(rank)
-        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        at = np.unique(np.concatenate(index.pop(rank)))
         at = at[pair[at] == rank]
         if not len(at):
             continue
-        of = word[at]
-        first = np.append(True, of[1:] != of[:-1])
-        if not first.all():
-            index[rank] = [at[~first]]
+        # of places that overlap in a row every second one merges
+        linked = np.append(False, nxt[at[:-1]] == at[1:])
+        row_start = np.maximum.accumulate(np.where(linked, 0, np.arange(len(at))))
+        every, at = at, at[(np.arange(len(at)) - row_start) % 2 == 0]
+        # tokens on either side as they are when a place merges: those to the left have merged by then
+        beside = prv[at]
+        near = np.append(False, nxt[nxt[at[:-1]]] == at[1:])
+        left_token = np.where(near, rank, token[beside])
+        end = nxt[nxt[at]]
+        low = (beside >= 0) & (merges.rank(left_token, np.full(len(at), rank)) < rank)
+        low |= (end >= 0) & (merges.rank(np.full(len(at), rank), token[end]) < rank)
+        if low.any():
+            of = word[at]
+            stop_of, stop = np.unique(of[low], return_index=True)
+            stop = at[low][stop]
+            limit = np.full(len(words), size)
+            limit[stop_of] = stop
+            at = at[at <= limit[of]]
+            index[rank] = [every[every > limit[word[every]]]]
             heapq.heappush(queue, rank)
-            at = at[first]
         right = nxt[at]
         behind = nxt[right]
         token[at] = rank
@@ -157,7 +171,7 @@ def coded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) per row, encoded and decoded again.
 
     The corpus is worked on in bounded slices of whole documents, so memory is bounded and nothing is shuffled; merges act
-    inside words only, so slices don't change the ids.  ``path`` must exist on every executor.  A null text is empty and has
+    inside words only, so slices don't change the ids; a very long text is a slice of its own, worked on whole.  ``path`` must exist on every executor.  A null text is empty and has
     no ids; repeated rows are coded each; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -183,7 +197,7 @@ def coded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
 
 
 def decoded(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text as bytes) from token ids; null ids give no bytes."""
+    """(doc_id, text as bytes) from token ids; null ids give no bytes, repeated rows a row each, an empty table none."""
     rows = ids.select(ids[id_col].alias("doc_id"), ids[ids_col].alias("ids"))
 
     def run(batches):

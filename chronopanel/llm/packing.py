@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,16 +105,21 @@ def top_up(windows: list[list[tuple[int, int, int]]], window: int = WINDOW) -> l
 
 
 class UnitTokenizer:
-    """Token ids of distinct units by the ``tokenizers`` library.  The file's path must exist on every executor."""
+    """Token ids of distinct units by the ``tokenizers`` library.  The file's path must exist on every executor.
 
-    def __init__(self, path: str):
+    A text that holds a special token is given to the library whole, as the token cuts it elsewhere than spaces do; with
+    ``literal`` special tokens count as ordinary text.
+    """
+
+    def __init__(self, path: str, literal: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = literal
+        self.special = [] if literal else [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.bytes_of = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())], np.int64)
 
     def spaced(self, units: list[str]) -> Ragged:
@@ -142,40 +148,41 @@ class UnitTokenizer:
         return Ragged(np.concatenate([np.empty(0, np.int64), *rows]), np.fromiter(map(len, rows), np.int64, len(rows)))
 
     def documents(self, texts: list[str]) -> Iterator[np.ndarray]:
-        docs, spaced, heads = number(texts)
+        whole = {i for token in self.special for i, t in enumerate(texts) if token in t}
+        docs, spaced, heads = number(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
         # first units follow the spaced ones in reverse, so that -1 - n counts from the end
         a, b = self.spaced(spaced), self.heads(heads[::-1])
         table = Ragged(np.concatenate([a.flat, b.flat]), np.concatenate([a.lengths, b.lengths]))
-        for row in docs:
-            yield table.gather(row)
-
-
-_MODELS: dict[str, UnitTokenizer] = {}
+        for i, row in enumerate(docs):
+            if i in whole:
+                yield np.array(self.model.encode(texts[i], add_special_tokens=False).ids, np.int64)
+            else:
+                yield table.gather(row)
 
 
-def tokenizer(path: str) -> UnitTokenizer:
-    if path not in _MODELS:
-        _MODELS[path] = UnitTokenizer(path)
-    return _MODELS[path]
+@lru_cache(maxsize=2)
+def tokenizer(path: str, literal: bool = False) -> UnitTokenizer:
+    return UnitTokenizer(path, literal)
 
 
 FIELDS = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_ids: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_ids: bool = False, slice_bytes: int = SLICE_BYTES, literal: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``window`` tokens.
 
     Every task packs bounded slices of its own rows, so nothing is shuffled and no window is shared between tasks.  In a
     slice, overlong documents give full windows first; the remainders are packed best-fit decreasing; then the last gaps are
     filled by cuts.  A null text is empty and holds the end token alone; equal ids or texts stay separate documents; an empty
-    table gives no rows; other columns are ignored.  ``with_ids`` adds the token ids of each piece.
+    table gives no rows; other columns are ignored.  A very long text is a slice of its own, worked on whole.  ``with_ids`` adds
+    the token ids of each piece; ``literal`` takes the special tokens' own text for ordinary text.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     key_type = to_arrow_type(rows.schema["doc_id"].dataType)
     schema = FIELDS.format(id=rows.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
 
     def pack(batches):
-        model = tokenizer(path)
+        model = tokenizer(path, literal)
         number_of = TaskContext.get().partitionId() << 33
         for keys, texts in slices(batches, slice_bytes):
             ids: list[np.ndarray] = []

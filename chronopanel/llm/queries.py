@@ -21,9 +21,8 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
     kind = pages.schema["page_id"].dataType.simpleString()
     captures = warc.transactions(pages, scratch_path(spark, "warc"), with_payload=False)
-    page = lambda name: F.expr(f"try_cast(regexp_extract({name}, '^<urn:capture:(.*):[a-z]+>$', 1) AS {kind})")
     return captures.select(
-        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"),
+        warc.page_of(F.col("record_id"), kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to"), kind).alias("refers_to"),
         "target_uri", F.size("requests").cast("long").alias("n_requests"), F.size("metadata").cast("long").alias("n_metadata"),
     )
 
@@ -31,8 +30,8 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND head <> page_id THEN head END AS refers_to, regexp_replace(url, '[\x00-\x20]', '%20', 'g') AS target_uri,
+  CASE WHEN payload_bytes >= 100 AND head IS NOT NULL AND head IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND head IS DISTINCT FROM page_id THEN head END AS refers_to, regexp_replace(url, '[\x00-\x20]', '%20', 'g') AS target_uri,
   CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata FROM f"""
 
 

@@ -27,12 +27,13 @@ def cut(text: str) -> list[str]:
     pieces = text.split(" ")
     if _ODD.search(text) is None:
         return pieces
-    out = pieces[:1]
+    out, held = [], pieces[:1]
     for piece in pieces[1:]:
-        if not piece or piece[0].isspace():
-            out[-1] = f"{out[-1]} {piece}"
-        else:
-            out.append(piece)
+        if piece and not piece[0].isspace():
+            out.append(" ".join(held))
+            held = []
+        held.append(piece)
+    out.append(" ".join(held))
     return out
 
 

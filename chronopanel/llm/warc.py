@@ -25,6 +25,7 @@ def referred(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """``pages`` (page_id, url, html) with payload_bytes, payload_digest and refers_to.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the smallest page_id is kept, the others refer to it.
+    A page with a null id is never the one that is kept, unless all of them have null ids: then each is.
     Payloads are counted by digest with partial aggregation; only digests that repeat are joined back, from a written table.
     """
     c = F.col
@@ -38,7 +39,7 @@ def referred(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         .agg(F.count("*").alias("n"), F.min("page_id").alias("head")).filter("n > 1").select("digest", "head")
     )
     joined = sized.join(stored(repeated, "repeated"), c("payload_digest") == c("digest"), "left")
-    return joined.withColumn("refers_to", F.when(c("head") != c("page_id"), c("head"))).drop("digest", "head")
+    return joined.withColumn("refers_to", F.when(~c("head").eqNullSafe(c("page_id")), c("head"))).drop("digest", "head")
 
 
 def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -48,8 +49,19 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("Content-Length: "), size, F.lit(END_OF_RECORD), block)
 
 
-def record_id(page: Column, kind: str) -> Column:
-    return F.concat(F.lit("<urn:capture:"), page, F.lit(f":{kind}>"))
+def name_of(page_id: Column) -> Column:
+    """Name of a page in record ids; every character that could break a header line is percent-encoded."""
+    return F.concat(F.lit("capture:"), F.url_encode(page_id.cast("string")))
+
+
+def record_id(name: Column, kind: str) -> Column:
+    return F.concat(F.lit("<urn:"), name, F.lit(f":{kind}>"))
+
+
+def page_of(record: Column, kind: str) -> Column:
+    """The page id in a record id, as a ``kind``; null for pages without one."""
+    text = F.url_decode(F.regexp_extract(record, "^<urn:capture:(.*):[a-z]+>$", 1))
+    return F.when(record.startswith("<urn:capture:"), text.try_cast(kind))
 
 
 def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -59,7 +71,7 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") ->
     whole files: a task that is run again leaves no half archive.  A null id gets a name of its own; a null url has no target.
     """
     c = F.col
-    page = F.coalesce(c("page_id").cast("string"), F.uuid())
+    page = F.coalesce(name_of(c("page_id")), F.concat(F.lit("unnamed:"), F.uuid()))
     named = pages.withColumn("page", page)
     url = F.regexp_replace("url", r"[\x00-\x20]", "%20")
     main = record_id(c("page"), "response")
@@ -71,7 +83,7 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") ->
     head = _record(
         [
             ("WARC-Type", F.when(c("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))), ("WARC-Record-ID", main), *shared,
-            ("WARC-Payload-Digest", digest), ("WARC-Refers-To", record_id(c("refers_to").cast("string"), "response")),
+            ("WARC-Payload-Digest", digest), ("WARC-Refers-To", record_id(name_of(c("refers_to")), "response")),
             ("WARC-Profile", F.when(c("refers_to").isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
@@ -187,8 +199,8 @@ def assemble(found: DataFrame) -> DataFrame:
 def transactions(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, with_payload: bool = True) -> DataFrame:
     """Write ``pages`` as archives in ``folder``, read them back and assemble every capture.
 
-    A null html is an empty payload; rows that repeat a page_id give a row each; no pages give no rows; other columns are
-    ignored.
+    A null html is an empty payload; rows that repeat a page_id give a row each; a null page_id has a record id that names no
+    page; no pages give no rows; other columns are ignored.  A very long html is one record, whole in memory while it is read.
     """
     write(referred(pages.select("page_id", "url", "html"), least), folder)
     return assemble(stored(read(pages.sparkSession, folder, with_payload), "records"))

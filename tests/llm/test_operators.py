@@ -84,6 +84,17 @@ def test_archive_of_repeated_and_no_pages(spark):
     assert warc.transactions(twice.limit(0), scratch_path(spark, "w")).count() == 0
 
 
+def test_archive_of_awkward_ids(spark):
+    """Ids that hold line breaks, colons or nothing come back as they are; a null id stays null and refers to the others."""
+    ids = ["a", "b\r\nWARC-Type: x", "c:response>", "", None, "d é%20+", "null"]
+    pages = spark.createDataFrame([(i, "u", "z" * 150 if i in ("a", None) else i) for i in ids], "page_id string, url string, html string")
+    out = warc.transactions(pages, scratch_path(spark, "w"))
+    got = out.select(warc.page_of(F.col("record_id"), "string").alias("id"), "record_type", warc.page_of(F.col("refers_to"), "string").alias("to")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(i, "revisit" if i is None else "response", "a" if i is None else None) for i in ids], key=str)
+    alone = spark.createDataFrame([(None, "u", "z" * 150), (None, "u", "z" * 150)], "page_id long, url string, html string")
+    assert [r.record_type for r in warc.transactions(alone, scratch_path(spark, "w")).collect()] == ["response", "response"]
+
+
 def test_assembly_follows_every_direction(spark):
     kinds = [
         ("r1", "response", []), ("q1", "request", ["r1"]), ("m1", "metadata", ["q1"]),  # by way of the request
@@ -153,6 +164,52 @@ def test_replayed_ids_are_those_of_the_library(spark, many):
     assert bpe.coded(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "".join(random.Random(2).choice("acgt") for _ in range(1_000_000)), " " * 300_000, "a" + " " * 300_000 + "b" + " \n" * 100_000, " " * 5_000_000])
+def test_very_long_words(many, text):
+    """A word of a megabyte and runs of millions of spaces cost seconds, not the square of their length."""
+    import time
+
+    path, library = many
+    start = time.perf_counter()
+    ids = bpe.encode([text], bpe.load(path), bpe.regex.compile(public_tokenizers.PATTERN))[0]
+    assert time.perf_counter() - start < 60
+    if len(text) > 1_000_000:  # beyond the library's own limits: a run of spaces is its longest token over and over
+        tokens = [bpe.load(path).bytes_of[i] for i in ids.tolist()]
+        assert b"".join(tokens) == text.encode() and len(set(tokens[:-9])) == 1
+    else:
+        assert ids.tolist() == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "a" + " " * 300_000 + "b", "y" * 300_000])
+def test_packing_of_very_long_runs(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = packing.tokenizer(path)
+    assert next(iter(model.documents([text]))).tolist() == model.model.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_few_letters_against_one_merge_at_a_time():
+    """Overlapping places, adjacent merges and merges that form lower ranks, over random rank tables."""
+    r = random.Random(11)
+    for _ in range(60):
+        tokens = {bytes([b]): b for b in range(256)}
+        pool = [b"a", b"b", b"c"]
+        for rank in r.sample(range(256, 400), 14):
+            new = r.choice(pool) + r.choice(pool)
+            if new not in tokens:
+                tokens[new] = rank
+                pool.append(new)
+        merges = bpe.Merges(tokens)
+        made = ["".join(r.choice("abc") for _ in range(r.randint(1, 40))).encode() for _ in range(60)] + [b"a" * 37, b"ab" * 30]
+        made = [w for w in made if w not in tokens]
+        ids = bpe.replay(made, merges)
+        for i, w in enumerate(made):
+            parts = [bytes([b]) for b in w]
+            while options := [(tokens[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in tokens]:
+                k = min(options)[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            assert ids.gather(np.array([i])).tolist() == [tokens[p] for p in parts]
+
+
 def test_a_merge_may_form_a_pair_of_lower_rank():
     """Ranks where ab comes after abc: the pair (ab, c) has to go before the next ab of the same word."""
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 300, b"ab": 400, b"abca": 310, b"bb": 350}
@@ -528,9 +585,10 @@ def test_pieces(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = AWKWARD + [words(s, 30, 3000) for s in range(40)] + ["tail    x  "]
+    texts += ["a <|endoftext|> b", "a  <|endoftext|>", "<|endoftext|><|endoftext|>  c d", "x y<|endoftext|>z\n<|endoftext|"]
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     want = {i: np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in enumerate(texts)}
+    assert want[len(texts) - 4].tolist() == [64, 220, 50256, 275, 1]
     pieces = packing.packed(table(spark, texts), path, with_ids=True, slice_bytes=60_000).collect()
     seen, sequences = defaultdict(list), defaultdict(list)
     for x in pieces:
@@ -554,5 +612,10 @@ def test_pieces(spark):
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding == 0
     assert packing.packed(table(spark, texts).limit(0), path).count() == 0
+    model.encode_special_tokens = True
+    ids = packing.packed(table(spark, ["a <|endoftext|> b"]), path, with_ids=True, literal=True).collect()
+    assert [x for p in sorted(ids, key=lambda p: p.start) for x in p.ids] == model.encode("a <|endoftext|> b", add_special_tokens=False).ids + [1]
+    nulls = packing.packed(table(spark, ["a", None, "b"], ids=[None, None, 3]), path).collect()
+    assert {(x.doc_id, x.doc_tokens) for x in nulls} == {(None, 1), (None, 2), (3, 2)}
     again = packing.packed(table(spark, ["a", "a"], ids=[1, 1]), path).collect()
     assert sorted((x.start, x.length, x.doc_tokens) for x in again) == [(0, 2, 2), (0, 2, 2)]
