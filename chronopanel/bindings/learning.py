@@ -1,7 +1,7 @@
 """Model, cross-validation and search queries over the whole labelled panel.
 
 Learners are not expressible in SQL, so these report scores and are checked by
-tests.  Forests and logistic models have their catalogued sizes, boosting has few rounds here.
+tests.  Forests and logistic models have their catalogued sizes, boosting has fewer rounds here.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import splits as SP
 from ..plans import research as RS
 from ..plans import search as SR
+from ..plans import staged as ST
 from ..plans.crossval import classification_cv, regression_cv
 from ..plans.models import CLASSIFIERS, REGRESSORS
 from ..session import scratch_path, stored
@@ -26,8 +27,10 @@ from .base import line_bars, query
 W = SeriesWindow()
 FEATS = ["return_1d", "return_7d", "volatility_7d", "volatility_30d", "range_pct", "body_pct", "volume_z_14d"]
 GROUPS = {"all": FEATS, "returns": FEATS[:5]}
-QUICK = {n: s.sized(4, 4) if s.family == "boost" else s for n, s in CLASSIFIERS.items()}
-QUICK_REG = {n: s.sized(4, 4) if s.family == "boost_reg" else s for n, s in REGRESSORS.items()}
+#: Boosting rounds of the queries (300 to 500 in the catalogue).
+ROUNDS = 20
+QUICK = {n: s.sized(ROUNDS) if s.family == "boost" else s for n, s in CLASSIFIERS.items()}
+QUICK_REG = {n: s.sized(ROUNDS) if s.family == "boost_reg" else s for n, s in REGRESSORS.items()}
 
 
 def model_rows(spark, sf_dir, regimes=False):
@@ -138,20 +141,21 @@ def search_data(spark, sf_dir, task):
 SMALL = dict(windows=(730, 0), vol_windows=(7,), ks=(0.9,), top_ks=(5,), scout_splits=1, confirm_splits=2, final_splits=2, keep_windows=1, keep_labels=1, keep_groups=1)
 
 
-@query("move_search", "X03 X01 J08 O04 S18")
+@query("move_search", "X03 X01 J08 O04 S18 M20")
 def _(spark, sf_dir):
+    """Stages, threshold, verification, baselines, refit and lock; each row as JSON."""
     plan = SR.SearchPlan(**SMALL, scout_model="logistic", confirm_models=("logistic",), start_top_k=7)
     store = ResultStore(spark, scratch_path(spark, "move-search"))
-    SR.coarse_to_fine(search_data(spark, sf_dir, "move"), store, plan)
-    return SR.comparison_rows(store.load())
+    return ST.as_rows(ST.move_research(search_data(spark, sf_dir, "move"), store, plan, scratch_path(spark, "move-lock")))
 
 
-@query("three_class_search", "X02 X01 J08")
+@query("three_class_search", "X02 X01 J08 A10 M22")
 def _(spark, sf_dir):
+    """Stages, tasks, regressions, baselines, selection frequency, pruning and lock; each row as JSON."""
     plan = SR.SearchPlan(name="three_class_search", **{**SMALL, "windows": (730,), "ks": (0.7,)}, scout_model="logistic", confirm_models=("logistic",), start_top_k=7)
     store = ResultStore(spark, scratch_path(spark, "class-search"))
-    SR.coarse_to_fine(search_data(spark, sf_dir, "three_class"), store, plan)
-    return SR.comparison_rows(store.load())
+    data = search_data(spark, sf_dir, "three_class")
+    return ST.as_rows(ST.three_class_research(data, store, plan, scratch_path(spark, "class-lock"), [QUICK_REG["lightgbm_reg"]]))
 
 
 @query("exhaustive_search", "X04")

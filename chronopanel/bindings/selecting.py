@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rolling import SeriesWindow
+from ..operators import neighbours as NB
 from ..operators import preprocess as PP
 from ..operators import price as P
 from ..operators import selection as SEL
@@ -105,6 +106,34 @@ def _(spark, sf_dir):
     return SEL.top_features(SEL.binned_information(df, folds3(df), FEATS, "target_move_dynamic"), "mi", 4).select("fold", "feature", "rank")
 
 
+def _psi(x):
+    """Digamma of a positive whole number."""
+    return f"(ln({x} + 6.0) - 0.5 / ({x} + 6.0) - 1 / (12 * power({x} + 6.0, 2)) + 1 / (120 * power({x} + 6.0, 4)) - 1 / (252 * power({x} + 6.0, 6)) + 1 / (240 * power({x} + 6.0, 8)) - " + " - ".join(f"1.0 / ({x} + {i})" for i in range(6)) + ")"
+
+
+NEAR = ", ".join(f"abs(x - {f}(x, {j}) OVER c)" for f in ("lag", "lead") for j in (1, 2, 3))
+KNN_CTES = TRAIN + f""", gate AS (SELECT fold, feature, median(value) AS mid FROM lf GROUP BY 1, 2 HAVING count(value) >= 0.6 * count(*) AND count(DISTINCT value) > 2),
+pt0 AS (SELECT fold, feature, y, coalesce(value, mid) AS x FROM lf JOIN gate USING (fold, feature) WHERE y IS NOT NULL),
+pt AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY fold, feature, y) AS nc FROM pt0) WHERE nc > 1),
+rad AS (SELECT *, least(3, nc - 1) AS k, list_sort([{NEAR}])[CAST(least(3, nc - 1) AS INTEGER)] * (1 - power(2.0::DOUBLE, -53)) AS r FROM pt WINDOW c AS (PARTITION BY fold, feature, y ORDER BY x)),
+cnt AS (SELECT *, count(*) OVER (PARTITION BY fold, feature ORDER BY x RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS m, count(*) OVER (PARTITION BY fold, feature) AS t FROM rad),
+knn AS (SELECT fold, feature, greatest({_psi('any_value(t)')} + avg({_psi('k')}) - avg({_psi('nc')}) - avg({_psi('m')}), 0) AS mi FROM cnt GROUP BY 1, 2)"""
+
+
+@query("neighbour_information", "M15", out("SELECT fold, feature, mi FROM knn", "feature", "", "mi", "fold", ctes=KNN_CTES))
+def _(spark, sf_dir):
+    """Information about the move from the third neighbour in its class; blocks short enough that each feature spans many."""
+    df = feature_rows(spark, sf_dir)
+    return NB.class_information(df, folds3(df), FEATS, "target_move_dynamic", block_rows=512)
+
+
+@query("neighbour_information_of_returns", "M15")
+def _(spark, sf_dir):
+    """The same about the next return as a number."""
+    df = feature_rows(spark, sf_dir)
+    return NB.value_information(df, folds3(df), FEATS, "target_return_1d")
+
+
 @query(
     "variance_ranking", "M16",
     out(

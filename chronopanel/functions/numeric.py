@@ -95,3 +95,15 @@ def branch(upper: Column, lower: Column) -> Column:
 def flag(cond: Column) -> Column:
     """0/1 where an unknown condition counts as 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")
+
+
+def digamma(value: str | Column) -> Column:
+    """Derivative of the log-gamma function for positive numbers: recurrence up by six, then the asymptotic series."""
+    x = col(value).cast("double")
+    y = x + F.lit(6.0)
+    below = F.lit(0.0)
+    for i in range(6):
+        below += F.lit(1.0) / (x + F.lit(float(i)))
+    square = F.lit(1.0) / (y * y)
+    series = square * (F.lit(1 / 12) - square * (F.lit(1 / 120) - square * (F.lit(1 / 252) - square * F.lit(1 / 240))))
+    return F.ln(y) - F.lit(0.5) / y - series - below

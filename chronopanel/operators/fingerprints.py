@@ -4,20 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Kinds of columns in a fingerprint's schema, so that engines that name their types otherwise agree.
+KINDS = {
+    T.ByteType: "int", T.ShortType: "int", T.IntegerType: "int", T.LongType: "int", T.FloatType: "real", T.DoubleType: "real", T.StringType: "text",
+    T.DateType: "day", T.TimestampType: "time", T.TimestampNTZType: "time", T.BooleanType: "bool", T.BinaryType: "bytes",
+}
+
+
+def kind_of(kind: T.DataType) -> str:
+    if isinstance(kind, T.ArrayType):
+        return f"list of {kind_of(kind.elementType)}"
+    return KINDS.get(type(kind), kind.simpleString())
+
+
+def _real(x: Column) -> Column:
+    """A finite number as whole mantissa and exponent of two: exact, and the same wherever doubles are."""
+    size = F.abs(x)
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    guess = F.floor(F.log2(size))
+    # the logarithm may be off by one next to a power of two
+    exponent = guess + (size >= power(guess + 1)).cast("long") - (size < power(guess)).cast("long")
+    shift = F.lit(52).cast("long") - exponent
+    half = F.floor(shift / F.lit(2))
+    mantissa = (size * power(half) * power(shift - half)).cast("long").cast("string")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), mantissa, F.lit("p"), (-shift).cast("string"))
+    special = F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0")
+    return special.otherwise(text)
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """Text of a value that differs where values differ; a null is N, and texts carry their length."""
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(value, lambda v: canonical(v, kind.elementType))
+        text = F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]"))
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        text = _real(value.cast("double"))
+    elif isinstance(kind, T.StringType):
+        text = F.concat(F.octet_length(value).cast("string"), F.lit(":"), value)
+    elif isinstance(kind, T.DateType):
+        text = F.unix_date(value).cast("string")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = F.unix_micros(value.cast("timestamp")).cast("string")
+    elif isinstance(kind, T.BinaryType):
+        text = F.hex(value)
+    elif isinstance(kind, (T.StructType, T.MapType)):
+        text = F.to_json(value)
+    else:
+        text = value.cast("string")
+    return F.coalesce(text, F.lit("N"))
 
 
 def fingerprint(df: DataFrame, name: str = "table") -> DataFrame:
-    """Order-independent digest of all rows: one pass, partial aggregates only."""
-    row_hash = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema.fields, key=lambda f: f.name))
-    sums = df.select(row_hash.alias("h")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor"),
-        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("total"),
+    """Order-independent digest of all rows: one pass, partial aggregates only.
+
+    A row is the canonical text of its columns by name, its digest 128 bits; the four words of all digests are summed exactly,
+    so that repeated rows count and their order does not.
+    """
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    row = F.concat_ws("|", *[canonical(F.col(f"`{f.name}`"), f.dataType) for f in fields])
+    word = lambda i: F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
+    schema = ",".join(f"{f.name}:{kind_of(f.dataType)}" for f in fields)
+    sums = df.select(F.md5(row).alias("h")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(word(i)), F.lit(0)).cast("decimal(38,0)").alias(f"w{i}") for i in range(4)]
     )
-    digest = F.sha2(F.concat_ws("|", F.lit(schema), F.col("rows"), F.col("xor"), F.col("total")), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(schema), "rows", "w0", "w1", "w2", "w3"), 256)
     return sums.select(F.lit(name).alias("name"), "rows", digest.alias("digest"))
 
 

@@ -22,10 +22,12 @@ from ..operators import metrics as M
 from ..operators import selection as SEL
 from ..operators import splits as SP
 from ..session import small_table, stored
-from .models import ModelSpec, fit_classifier, fit_regressor, predict_classes, predict_values
+from .models import FactsCache, ModelSpec, fit_classifier, fit_regressor, predict_classes, predict_values
 
 KEYS = ("series_id", "date")
 FEWEST = 5
+#: Folds that are fitted side by side.
+PARALLEL = 6
 
 
 @dataclass
@@ -66,6 +68,11 @@ def _sides(df: DataFrame, fold) -> tuple[DataFrame, DataFrame]:
     return train, df.filter((F.col("date") >= start) & (F.col("date") <= end))
 
 
+def _rows_key(fold) -> tuple:
+    """What tells the training rows of folds over one table apart."""
+    return fold["valid_start"], fold["train_from"]
+
+
 def _over_folds(work, folds: Sequence, parallelism: int) -> list:
     if parallelism <= 1:
         return [work(f) for f in folds]
@@ -82,19 +89,25 @@ def classification_cv(
     folds: DataFrame,
     top_k: int = 100,
     how: str = "information",
-    parallelism: int = 2,
+    parallelism: int = PARALLEL,
+    keep: str | None = None,
+    facts: FactsCache | None = None,
 ) -> Evaluation | None:
-    """Fit per fold, predict its validation rows, pool and score."""
+    """Fit per fold, predict its validation rows, pool and score; predictions are written to ``keep`` or a scratch path.
+
+    ``facts`` is shared by evaluations of the same rows.
+    """
     folds = SP.fixed(folds)
     selected = pick_features(df, folds, features, target, top_k, how)
     fewest = 2 if how == "coverage" else FEWEST
+    facts = facts or FactsCache()
 
     def one(fold):
         chosen = selected.get(fold["fold"], [])
         if len(chosen) < min(fewest, len(features)):
             return None
         train, valid = _sides(df, fold)
-        fitted = fit_classifier(train, chosen, target, spec)
+        fitted = fit_classifier(train, chosen, target, spec, facts.of(_rows_key(fold), train, features, target))
         if fitted is None:
             return None
         truth = valid.select(*KEYS, F.col(target).cast("int").alias("y"))
@@ -105,7 +118,11 @@ def classification_cv(
     if not parts:
         return None
     pooled = reduce(DataFrame.unionByName, parts).withColumn("pred", A.class_of_max("p", list(classes)))
-    predictions = stored(pooled, "oof")
+    if keep is None:
+        predictions = stored(pooled, "oof")
+    else:
+        pooled.write.mode("overwrite").parquet(keep)
+        predictions = df.sparkSession.read.schema(pooled.schema).parquet(keep)
     scores, summary = pooled_and_fold_scores(predictions, classes)
     return Evaluation(predictions, scores, summary, selected)
 
@@ -141,9 +158,11 @@ def regression_cv(
     spec: ModelSpec,
     folds: DataFrame,
     top_k: int = 100,
-    parallelism: int = 2,
+    parallelism: int = PARALLEL,
+    facts: FactsCache | None = None,
 ) -> Evaluation | None:
     folds = SP.fixed(folds)
+    facts = facts or FactsCache()
     selected = pick_features(df, folds, features, target, top_k, "regression")
 
     def one(fold):
@@ -151,7 +170,7 @@ def regression_cv(
         if len(chosen) < min(FEWEST, len(features)):
             return None
         train, valid = _sides(df, fold)
-        fitted = fit_regressor(train, chosen, target, spec)
+        fitted = fit_regressor(train, chosen, target, spec, facts.of(_rows_key(fold), train, features, target, classes=False))
         truth = valid.select(*KEYS, F.col(target).alias("y"), F.col(threshold).alias("threshold"))
         return truth.join(predict_values(fitted, valid, KEYS), list(KEYS)).withColumn("fold", F.lit(fold["fold"]))
 

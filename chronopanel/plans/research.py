@@ -17,9 +17,9 @@ from ..operators import selection as SEL
 from ..operators import splits as SP
 from ..operators.cleaning import recent_window
 from ..session import small_table, stored
-from ..sources.results import save_model
-from .crossval import KEYS, Evaluation, _over_folds, _sides, classification_cv, pick_features
-from .models import Fitted, ModelSpec, fit_classifier, predict_classes
+from .crossval import KEYS, PARALLEL, Evaluation, _over_folds, _rows_key, _sides, classification_cv, pick_features
+from .models import FactsCache, Fitted, ModelSpec, fit_classifier, predict_classes
+from .registry import ModelRegistry
 
 
 def covered(train: DataFrame, features: Sequence[str]) -> list[str]:
@@ -58,10 +58,10 @@ def evaluate_task(
     train, test = stored(train, "train"), stored(test, "holdout")
     SP.assert_boundaries(SP.audit(df, SP.fixed(SP.holdout_fold(df))))
     folds = SP.fixed(SP.expanding_folds(train, n_splits))
-    rows, store = [], {}
+    rows, store, facts = [], {}, FactsCache()
     for group, features in groups.items():
         for spec in specs:
-            done = classification_cv(train, target, classes, features, spec, folds, how="coverage")
+            done = classification_cv(train, target, classes, features, spec, folds, how="coverage", facts=facts)
             if done is None:
                 continue
             s = done.summary
@@ -81,7 +81,7 @@ def evaluate_task(
         fitted, p = fit_final(train, test, features, target, classes, spec)
         if r is best and artifact:
             card = {"features": fitted.features, "classes": fitted.classes, "model": spec.name, "target": target}
-            save_model(fitted.as_pipeline(), card, artifact)
+            ModelRegistry(spark, artifact).publish(f"{target}-{r[0]}-{r[1]}", fitted, card)
         parts.append(p.withColumn("model", F.lit(f"{r[0]}/{r[1]}")))
     long = parts[0]
     for p in parts[1:]:
@@ -105,7 +105,7 @@ def evaluate_task(
 
 
 def two_stage(
-    df: DataFrame, features: Sequence[str], specs: Sequence[ModelSpec], n_splits: int = 5, least: int = 50, parallelism: int = 2
+    df: DataFrame, features: Sequence[str], specs: Sequence[ModelSpec], n_splits: int = 5, least: int = 50, parallelism: int = PARALLEL
 ) -> dict[str, DataFrame]:
     """Move model and direction model (trained on moving rows), combined by a swept threshold.
 
@@ -117,22 +117,25 @@ def two_stage(
     train, test = stored(train, "train"), stored(test, "holdout")
     folds = SP.fixed(SP.expanding_folds(train, n_splits))
     chosen = pick_features(train, folds, features, "target_move_dynamic", len(features), "coverage")
+    facts = FactsCache()
 
     def fold_part(spec, fold):
         feats = chosen.get(fold["fold"], [])
         tr, va = _sides(train, fold)
-        move = fit_classifier(tr, feats, "target_move_dynamic", spec) if len(feats) >= 2 else None
+        move = fit_classifier(tr, feats, "target_move_dynamic", spec, facts.of(_rows_key(fold), tr, features, "target_move_dynamic")) if len(feats) >= 2 else None
         if move is None:
             return None
         moving = tr.filter(F.col("label_dynamic") != 0)
-        side = fit_classifier(moving, feats, "target_direction", spec) if moving.count() >= least else None
+        known = facts.of((*_rows_key(fold), "moving"), moving, features, "target_direction")
+        side = fit_classifier(moving, feats, "target_direction", spec, known) if known.rows >= least else None
         up_of = lambda fitted, name: predict_classes(fitted, va, KEYS, [0, 1]).select(*KEYS, F.col("p")[1].alias(name))
         truth = va.select(*KEYS, "label_dynamic", "target_move_dynamic", "target_direction")
         judged = truth.join(up_of(move, "move_p"), list(KEYS))
         judged = judged.withColumn("up_p", F.lit(None).cast("double")) if side is None else judged.join(up_of(side, "up_p"), list(KEYS))
         return judged.withColumn("model", F.lit(spec.name)), side is not None
 
-    done = [p for spec in specs for p in _over_folds(lambda fold: fold_part(spec, fold), folds.collect(), parallelism) if p is not None]
+    each = [(spec, fold) for spec in specs for fold in folds.collect()]  # one row per fold
+    done = [p for p in _over_folds(lambda pair: fold_part(*pair), each, parallelism) if p is not None]
     if not any(has_side for _, has_side in done):
         return {}
     oof = done[0][0]
@@ -210,7 +213,7 @@ def refit_locked(df: DataFrame, config: Mapping[str, object], features: Sequence
         **config, "model": spec.name, "features": chosen, "classes": fitted.classes,
         "train_first_date": span["lo"], "train_last_date": span["hi"], "train_rows": span["n"],
     }
-    save_model(fitted.as_pipeline(), card, path)
+    ModelRegistry(df.sparkSession, path).publish(str(config.get("config_hash") or spec.name), fitted, card)
     summary = small_table(df.sparkSession, [(spec.name, len(chosen), str(span["lo"]), str(span["hi"]), span["n"], sorted(chosen))],
         "model string, feature_count int, train_first_date string, train_last_date string, train_rows bigint, features array<string>",
     )
@@ -220,9 +223,9 @@ def refit_locked(df: DataFrame, config: Mapping[str, object], features: Sequence
 def seed_stability(df: DataFrame, target: str, features: Sequence[str], spec: ModelSpec, folds: DataFrame, seeds: Sequence[int] = (11, 42, 73, 104, 137)) -> DataFrame:
     """Summary per seed of one configuration."""
     classes = L.target_classes(target)
-    rows = []
+    rows, facts = [], FactsCache()
     for seed in seeds:
-        done = classification_cv(df, target, classes, features, spec.seeded(seed), folds)
+        done = classification_cv(df, target, classes, features, spec.seeded(seed), folds, facts=facts)
         if done:
             s = done.summary
             rows.append((spec.name, seed, s["macro_f1"], s["robust_score"], s["oof_rows"]))
@@ -235,8 +238,9 @@ def post_analysis(df: DataFrame, target: str, features: Sequence[str], specs: Se
     classes = L.target_classes(target)
     folds = SP.fixed(folds)
     runs: dict[str, Evaluation] = {}
+    facts = FactsCache()
     for spec in specs:
-        done = classification_cv(df, target, classes, features, spec, folds)
+        done = classification_cv(df, target, classes, features, spec, folds, facts=facts)
         if done:
             runs[spec.name] = done
     long = None

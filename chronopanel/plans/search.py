@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ from ..operators.joins import missing_configs
 from ..operators.ranking import top_per_group
 from ..session import small_table, stored
 from ..sources.results import ResultStore
-from .crossval import classification_cv, regression_cv
-from .models import ModelSpec
+from .crossval import PARALLEL, classification_cv, regression_cv
+from .models import FactsCache, ModelSpec
 
 # Search grids; 0 days means an expanding window.
 WINDOWS = (365, 730, 1095, 1825, 0)
@@ -86,6 +87,10 @@ class SearchData:
             self.prepared[key] = SP.fixed(SP.rolling_folds(self.frame, window or None, self.valid_days, n_splits))
         return self.prepared[key]
 
+    def facts_for(self, row) -> FactsCache:
+        """Facts of the folds of one labelled table."""
+        return self.prepared.setdefault(("facts", row["vol_window"], row["k"]), FactsCache())
+
     @property
     def target(self) -> str:
         if self.task == "direction":
@@ -93,11 +98,12 @@ class SearchData:
         return "research_move" if self.task == "move" else "research_label"
 
 
-def run_stage(data: SearchData, store: ResultStore, grid: DataFrame, phase: str, parallelism: int = 3) -> DataFrame:
+def run_stage(data: SearchData, store: ResultStore, grid: DataFrame, phase: str, parallelism: int = PARALLEL) -> DataFrame:
     """Evaluate the configurations of a grid that have no stored result; return the grid's results.
 
     Labels and fold tables are prepared once per distinct choice.  Independent
-    configurations run side by side; results are appended as they finish.
+    configurations run side by side; results are appended as they finish, with
+    their out-of-fold predictions in the store before them.
     """
     todo = missing_configs(grid, store.load()).orderBy("config_hash").collect()
     for row in todo:
@@ -110,7 +116,8 @@ def run_stage(data: SearchData, store: ResultStore, grid: DataFrame, phase: str,
         spec = data.specs[row["model"]].seeded(row["seed"])
         classes = L.target_classes(data.target)
         features = data.groups[row["feature_set"]]
-        done = classification_cv(frame, data.target, classes, features, spec, folds, row["top_k"], parallelism=1)
+        keep = store.predictions_path(row["config_hash"])
+        done = classification_cv(frame, data.target, classes, features, spec, folds, row["top_k"], parallelism=1, keep=keep, facts=data.facts_for(row))
         record = {c: row[c] for c in (*CONFIG, "config_hash")}
         record["phase"] = phase
         if done is None:
@@ -122,8 +129,14 @@ def run_stage(data: SearchData, store: ResultStore, grid: DataFrame, phase: str,
 
     with ThreadPoolExecutor(parallelism) as pool:
         work = inheritable_thread_target(one)
-        for finished in as_completed([pool.submit(work, row) for row in todo]):
-            store.append([finished.result()])
+        waiting = [pool.submit(work, row) for row in todo]
+        try:
+            for finished in as_completed(waiting):
+                store.append([finished.result()])
+        except BaseException:
+            for later in waiting:
+                later.cancel()
+            raise
     return store.load().join(grid.select("config_hash"), "config_hash", "left_semi")
 
 
@@ -168,9 +181,11 @@ def coarse_to_fine(data: SearchData, store: ResultStore, plan: SearchPlan) -> di
     }
     history: dict[str, DataFrame] = {}
 
-    def stage(name: str, axes: dict, splits: int) -> list:
+    def stage(name: str, axes: dict, splits: int) -> DataFrame:
         grid = config_grid(spark, {**base, **axes, "kind": [f"{plan.name}_{name}"], "n_splits": [splits]})
-        done = run_stage(data, store, grid, "scout" if splits == plan.scout_splits else "confirm")
+        phase = "scout" if name.endswith("_scout") else "final" if name == "final" else "confirm"
+        store.note(plan.name, len(history), name, phase, grid)
+        done = run_stage(data, store, grid, phase)
         history[name] = done.withColumn("kind", F.lit(f"{plan.name}_{name}"))
         return history[name]
 
@@ -183,11 +198,9 @@ def coarse_to_fine(data: SearchData, store: ResultStore, plan: SearchPlan) -> di
 
     stage("label_scout", {"vol_window": list(plan.vol_windows), "k": list(plan.ks)}, plan.scout_splits)
     pairs = [(r["vol_window"], r["k"]) for r in promoted(history["label_scout"], plan.keep_labels).orderBy("rank").collect()]
-    confirmed = None
     for i, (vol, k) in enumerate(pairs):
-        grid = stage(f"label_{i}", {"vol_window": [vol], "k": [k]}, plan.confirm_splits)
-        confirmed = grid if confirmed is None else confirmed.unionByName(grid)
-    history["label"] = confirmed
+        stage(f"label_{i}", {"vol_window": [vol], "k": [k]}, plan.confirm_splits)
+    history["label"] = reduce(DataFrame.unionByName, [history[f"label_{i}"] for i in range(len(pairs))])
     base["vol_window"], base["k"] = best("label", 1, "vol_window"), best("label", 1, "k")
 
     stage("family_scout", {"feature_set": list(data.groups)}, plan.scout_splits)

@@ -1,11 +1,13 @@
 """Splits, metrics, ranking helpers and decisions by hand and against brute force."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronopanel.operators import cleaning as C
 from chronopanel.operators import decisions as D
@@ -156,6 +158,22 @@ def test_fingerprint_ignores_order(spark):
     assert a != FP.fingerprint(df.filter("id < 999").unionByName(df.filter("id = 5"))).first()["digest"]
 
 
+def test_canonical_text_tells_values_apart(spark):
+    """Numbers are exact, nulls are no texts, and lengths keep neighbours from running together."""
+    numbers = [0.0, -0.0, 1.0, -1.0, 0.1, 0.30000000000000004, 0.3, 2.0**52, 2.0**53, 1e300, 1e-300, 5e-324, 2.0**-1022, math.inf, -math.inf, math.nan, None, 1.5, 3.0, 0.75]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    texts = [r.t for r in df.select(FP.canonical(F.col("x"), T.DoubleType()).alias("t")).collect()]
+    assert texts[0] == texts[1] == "0" and len(set(texts)) == len(numbers) - 1
+    for x, t in zip(numbers, texts):
+        if x is not None and math.isfinite(x) and x and abs(x) > 1e-307:
+            mantissa, exponent = t.split("p")
+            assert math.ldexp(int(mantissa), int(exponent)) == x and 2**52 <= abs(int(mantissa)) < 2**53
+    print_of = lambda rows: FP.fingerprint(spark.createDataFrame(rows, "a string, b string")).first()["digest"]
+    rows = [("x", "1:y"), ("x|1:y", ""), (None, "N"), ("N", None), ("", ""), (None, None)]
+    assert len({print_of([r]) for r in rows}) == len(rows)
+    assert print_of(rows) == print_of(rows[::-1]) != print_of(rows + rows[:1])
+
+
 def test_regression_selection_ignores_validation_targets(spark):
     """Target quantiles come from a fold's training rows: other validation targets choose the same features."""
     import datetime as dt
