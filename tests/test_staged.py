@@ -47,6 +47,11 @@ def counting(monkeypatch, stop_after=None):
     return fitted
 
 
+def plain(df):
+    """Rows as text, numbers without the last digits that the order of summation decides."""
+    return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+
 def test_a_stopped_run_goes_on_where_it_was(spark, frame, monkeypatch):
     store = ResultStore(spark, scratch_path(spark, "stopped"))
     first = counting(monkeypatch, 4)
@@ -68,7 +73,7 @@ def test_a_stopped_run_goes_on_where_it_was(spark, frame, monkeypatch):
     monkeypatch.undo()
     assert third == []
     for name in ("stages", "pruning", "threshold", "verification", "baselines"):
-        assert sorted(map(str, parts[name].collect())) == sorted(map(str, again[name].collect())), name
+        assert plain(parts[name]) == plain(again[name]), name
 
     stages = parts["stages"].collect()
     assert {r.stage for r in stages} == {"window_scout", "window", "label_scout", "label_0", "family_scout", "family", "top_k", "final"}
