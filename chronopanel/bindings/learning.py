@@ -6,23 +6,26 @@ tests.  Forests and logistic models have their catalogued sizes, boosting has fe
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import splits as SP
 from ..plans import research as RS
 from ..plans import search as SR
 from ..plans import staged as ST
-from ..plans.crossval import classification_cv, regression_cv
-from ..plans.models import CLASSIFIERS, REGRESSORS
+from ..plans.crossval import KEYS, classification_cv, regression_cv, side_by_side
+from ..plans.models import CLASSIFIERS, REGRESSORS, FactsCache, fit_classifier, predict_classes
+from ..plans.registry import ModelRegistry
 from ..session import scratch_path, stored
 from ..sources.results import ResultStore
 from ..operators import price as P
 from ..operators import labels as L
 from ..functions.rolling import SeriesWindow
-from .base import line_bars, query
+from .base import line_bars, out, query
+from .evaluation import ASSIGN, DATA, rolling_sql
 
 W = SeriesWindow()
 FEATS = ["return_1d", "return_7d", "volatility_7d", "volatility_30d", "range_pct", "body_pct", "volume_z_14d"]
@@ -90,6 +93,55 @@ def _(spark, sf_dir):
     return regression_cv(df, "target_return_1d", "threshold_dynamic", FEATS, QUICK_REG["random_forest_reg"], folds_of(df), top_k=5).fold_scores
 
 
+@query(
+    "oof_audit", "M04 M06 M07 M13 M10 E01",
+    out(
+        """SELECT model, fold, count(*) AS samples, count(DISTINCT (series_id, date)) AS distinct_rows, count(*) AS sum_to_one, count(*) AS in_range, 1 AS scores_agree
+           FROM marked, (VALUES ('logistic'), ('extra_trees'), ('lightgbm')) AS m(model) WHERE role = 'valid' GROUP BY 1, 2""",
+        "model", "", (), "fold samples distinct_rows sum_to_one in_range scores_agree", ctes=DATA + rolling_sql(730, 2) + ASSIGN,
+    ),
+)
+def _(spark, sf_dir):
+    """What SQL can say of out-of-fold predictions: each validation row once, probabilities that sum to one, and fold scores that
+    are those of the stored rows.  Tree counts are small here, the other queries have the catalogue's."""
+    df = model_rows(spark, sf_dir)
+    specs = [QUICK["logistic"], QUICK["extra_trees"].sized(20), QUICK["lightgbm"].sized(3)]
+    folds, facts = SP.fixed(folds_of(df)), FactsCache()
+    calls = [partial(classification_cv, df, "label_dynamic", L.THREE_CLASSES, FEATS, s, folds, 5, facts=facts) for s in specs]
+    parts = []
+    for spec, done in zip(specs, side_by_side(*calls)):
+        p = F.col("p")
+        audit = done.predictions.groupBy("fold").agg(
+            F.count(F.lit(1)).alias("samples"), F.count_distinct("series_id", "date").alias("distinct_rows"),
+            F.count_if(F.abs(F.aggregate(p, F.lit(0.0), lambda a, v: a + v) - 1) < 1e-9).alias("sum_to_one"),
+            F.count_if((F.size(p) == 3) & (F.array_min(p) >= 0) & (F.array_max(p) <= 1)).alias("in_range"),
+        )
+        again = M.class_scores(done.predictions, ["fold"], "y", "pred").select("fold", F.col("macro_f1").alias("__f1"), F.col("accuracy").alias("__acc"))
+        agree = (F.abs(F.col("__f1") - F.col("macro_f1")) < 1e-9) & (F.abs(F.col("__acc") - F.col("accuracy")) < 1e-9)
+        scores = done.fold_scores.select("fold", "macro_f1", "accuracy").join(again, "fold").select("fold", agree.cast("int").alias("scores_agree"))
+        parts.append(audit.join(scores, "fold").withColumn("model", F.lit(spec.name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("model_registry", "S17 M20", out("SELECT model, series_id, date, 2 AS version, 1 AS same FROM data, (VALUES ('logistic'), ('extra_trees'), ('lightgbm')) AS m(model)", "model series_id", "date", (), "version same", ctes=DATA))
+def _(spark, sf_dir):
+    """Models published twice and loaded again by their configuration hash: every prediction as before."""
+    df = model_rows(spark, sf_dir)
+    registry, facts = ModelRegistry(spark, scratch_path(spark, "registry")), FactsCache()
+    parts = []
+    for spec in (QUICK["logistic"], QUICK["extra_trees"].sized(20), QUICK["lightgbm"].sized(3)):
+        fitted = fit_classifier(df, FEATS, "label_dynamic", spec, facts.of(("all",), df, FEATS, "label_dynamic"))
+        before = predict_classes(fitted, df, KEYS, L.THREE_CLASSES)
+        for _ in range(2):
+            registry.publish(f"{spec.name}-all", fitted, {"model": spec.name, "rows": facts.of(("all",), df, FEATS, "label_dynamic").rows})
+        loaded, _ = registry.load(f"{spec.name}-all")
+        version = registry.latest().filter(F.col("config_hash") == f"{spec.name}-all").first()["version"]
+        after = predict_classes(loaded, df, KEYS, L.THREE_CLASSES).withColumnRenamed("p", "q")
+        same = F.forall(F.arrays_zip("p", "q"), lambda z: z["p"] == z["q"]).cast("int")
+        parts.append(before.join(after, list(KEYS)).select(F.lit(spec.name).alias("model"), *KEYS, F.lit(version).alias("version"), same.alias("same")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("task_evaluation", "M18 M25 M17 S17")
 def _(spark, sf_dir):
     df = model_rows(spark, sf_dir)
@@ -106,8 +158,11 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = model_rows(spark, sf_dir)
     targets = {"move_dynamic": "target_move_dynamic", "three_class_dynamic": "label_dynamic"}
-    tasks = {task: RS.evaluate_task(df, target, {"all": FEATS}, [QUICK["random_forest"]], 2, 1) for task, target in targets.items()}
-    return RS.scorecard(tasks, RS.two_stage(df, FEATS, [QUICK["random_forest"]], 2))
+    forest = [QUICK["random_forest"]]
+    *parts, staged = side_by_side(
+        *[partial(RS.evaluate_task, df, target, {"all": FEATS}, forest, 2, 1) for target in targets.values()], lambda: RS.two_stage(df, FEATS, forest, 2)
+    )
+    return RS.scorecard(dict(zip(targets, parts)), staged)
 
 
 @query("locked_refit", "M20 S17 P13")

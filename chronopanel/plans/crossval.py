@@ -7,14 +7,14 @@ CrossValidator does.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from statistics import mean, pstdev
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -74,10 +74,15 @@ def _rows_key(fold) -> tuple:
 
 
 def _over_folds(work, folds: Sequence, parallelism: int) -> list:
-    if parallelism <= 1:
+    if parallelism <= 1 or len(folds) <= 1:
         return [work(f) for f in folds]
     with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(inheritable_thread_target(work), folds))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), folds))
+
+
+def side_by_side(*calls: Callable[[], object]) -> list:
+    """Results of independent calls that submit their jobs at once."""
+    return _over_folds(lambda call: call(), calls, len(calls))
 
 
 def classification_cv(

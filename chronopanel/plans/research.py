@@ -17,7 +17,7 @@ from ..operators import selection as SEL
 from ..operators import splits as SP
 from ..operators.cleaning import recent_window
 from ..session import small_table, stored
-from .crossval import KEYS, PARALLEL, Evaluation, _over_folds, _rows_key, _sides, classification_cv, pick_features
+from .crossval import KEYS, PARALLEL, Evaluation, _over_folds, _rows_key, _sides, classification_cv, pick_features, side_by_side
 from .models import FactsCache, Fitted, ModelSpec, fit_classifier, predict_classes
 from .registry import ModelRegistry
 
@@ -58,15 +58,16 @@ def evaluate_task(
     train, test = stored(train, "train"), stored(test, "holdout")
     SP.assert_boundaries(SP.audit(df, SP.fixed(SP.holdout_fold(df))))
     folds = SP.fixed(SP.expanding_folds(train, n_splits))
-    rows, store, facts = [], {}, FactsCache()
-    for group, features in groups.items():
-        for spec in specs:
-            done = classification_cv(train, target, classes, features, spec, folds, how="coverage", facts=facts)
-            if done is None:
-                continue
-            s = done.summary
-            rows.append((group, spec.name, s["accuracy"], s["balanced_accuracy"], s["macro_f1"], s["fold_macro_f1_mean"], s["fold_macro_f1_std"], s["oof_rows"]))
-            store[(group, spec.name)] = (done, spec, features)
+    facts = FactsCache()
+    grid = [(group, spec) for group in groups for spec in specs]
+    each = _over_folds(lambda g: classification_cv(train, target, classes, groups[g[0]], g[1], folds, how="coverage", facts=facts), grid, PARALLEL)
+    rows, store = [], {}
+    for (group, spec), done in zip(grid, each):
+        if done is None:
+            continue
+        s = done.summary
+        rows.append((group, spec.name, s["accuracy"], s["balanced_accuracy"], s["macro_f1"], s["fold_macro_f1_mean"], s["fold_macro_f1_std"], s["oof_rows"]))
+        store[(group, spec.name)] = (spec, groups[group])
     comparison = small_table(spark, rows,
         "feature_set string, model string, accuracy double, balanced_accuracy double, macro_f1 double, "
         "fold_macro_f1_mean double, fold_macro_f1_std double, oof_rows bigint",
@@ -76,9 +77,9 @@ def evaluate_task(
         return {"comparison": comparison}
     best = ranked[0]
     parts = []
-    for r in ranked[:members]:
-        _, spec, features = store[(r[0], r[1])]
-        fitted, p = fit_final(train, test, features, target, classes, spec)
+    finals = _over_folds(lambda r: fit_final(train, test, store[r[0], r[1]][1], target, classes, store[r[0], r[1]][0]), ranked[:members], PARALLEL)
+    for r, (fitted, p) in zip(ranked, finals):
+        spec = store[r[0], r[1]][0]
         if r is best and artifact:
             card = {"features": fitted.features, "classes": fitted.classes, "model": spec.name, "target": target}
             ModelRegistry(spark, artifact).publish(f"{target}-{r[0]}-{r[1]}", fitted, card)
@@ -122,12 +123,20 @@ def two_stage(
     def fold_part(spec, fold):
         feats = chosen.get(fold["fold"], [])
         tr, va = _sides(train, fold)
-        move = fit_classifier(tr, feats, "target_move_dynamic", spec, facts.of(_rows_key(fold), tr, features, "target_move_dynamic")) if len(feats) >= 2 else None
+        if len(feats) < 2:
+            return None
+
+        def of_moves():
+            return fit_classifier(tr, feats, "target_move_dynamic", spec, facts.of(_rows_key(fold), tr, features, "target_move_dynamic"))
+
+        def of_sides():
+            moving = tr.filter(F.col("label_dynamic") != 0)
+            known = facts.of((*_rows_key(fold), "moving"), moving, features, "target_direction")
+            return fit_classifier(moving, feats, "target_direction", spec, known) if known.rows >= least else None
+
+        move, side = side_by_side(of_moves, of_sides)
         if move is None:
             return None
-        moving = tr.filter(F.col("label_dynamic") != 0)
-        known = facts.of((*_rows_key(fold), "moving"), moving, features, "target_direction")
-        side = fit_classifier(moving, feats, "target_direction", spec, known) if known.rows >= least else None
         up_of = lambda fitted, name: predict_classes(fitted, va, KEYS, [0, 1]).select(*KEYS, F.col("p")[1].alias(name))
         truth = va.select(*KEYS, "label_dynamic", "target_move_dynamic", "target_direction")
         judged = truth.join(up_of(move, "move_p"), list(KEYS))
@@ -155,8 +164,10 @@ def two_stage(
     threshold = D.best_threshold(sweep, []).first()["decision_threshold"]
     by_name = {s.name: s for s in specs}
     feats = covered(train, features)
-    move = fit_classifier(train, feats, "target_move_dynamic", by_name[move_name])
-    side = fit_classifier(train.filter(F.col("label_dynamic") != 0), feats, "target_direction", by_name[dir_name])
+    move, side = side_by_side(
+        lambda: fit_classifier(train, feats, "target_move_dynamic", by_name[move_name]),
+        lambda: fit_classifier(train.filter(F.col("label_dynamic") != 0), feats, "target_direction", by_name[dir_name]),
+    )
     pm = predict_classes(move, test, KEYS, [0, 1]).select(*KEYS, F.col("p")[1].alias("move_p"))
     pd = predict_classes(side, test, KEYS, [0, 1]).select(*KEYS, F.col("p")[1].alias("up_p"))
     table = stored(
@@ -220,27 +231,33 @@ def refit_locked(df: DataFrame, config: Mapping[str, object], features: Sequence
     return fitted, summary
 
 
-def seed_stability(df: DataFrame, target: str, features: Sequence[str], spec: ModelSpec, folds: DataFrame, seeds: Sequence[int] = (11, 42, 73, 104, 137)) -> DataFrame:
+def seed_stability(df: DataFrame, target: str, features: Sequence[str], spec: ModelSpec, folds: DataFrame, seeds: Sequence[int] | None = None) -> DataFrame:
     """Summary per seed of one configuration."""
-    classes = L.target_classes(target)
+    classes, seeds = L.target_classes(target), SEEDS if seeds is None else seeds
     rows, facts = [], FactsCache()
-    for seed in seeds:
-        done = classification_cv(df, target, classes, features, spec.seeded(seed), folds, facts=facts)
+    each = _over_folds(lambda seed: classification_cv(df, target, classes, features, spec.seeded(seed), folds, facts=facts), seeds, PARALLEL)
+    for seed, done in zip(seeds, each):
         if done:
             s = done.summary
             rows.append((spec.name, seed, s["macro_f1"], s["robust_score"], s["oof_rows"]))
     return small_table(df.sparkSession, rows, "model string, seed int, macro_f1 double, robust_score double, oof_rows bigint")
 
 
-def post_analysis(df: DataFrame, target: str, features: Sequence[str], specs: Sequence[ModelSpec], folds: DataFrame, vol_rank: str, trend: str, seeds: Sequence[int] = ()) -> dict[str, DataFrame]:
-    """Members re-run out of fold, weighted ensemble, confidence curve, regimes and seeds."""
+SEEDS = (11, 42, 73, 104, 137)
+
+
+def post_analysis(df: DataFrame, target: str, features: Sequence[str], specs: Sequence[ModelSpec], folds: DataFrame, vol_rank: str, trend: str, seeds: Sequence[int] = SEEDS) -> dict[str, DataFrame]:
+    """Members re-run out of fold, weighted ensemble, confidence curve, regimes and seeds of the best member.
+
+    ``ensemble_improved`` says whether the ensemble's robust score is above that of the best member.
+    """
     spark = df.sparkSession
     classes = L.target_classes(target)
     folds = SP.fixed(folds)
     runs: dict[str, Evaluation] = {}
     facts = FactsCache()
-    for spec in specs:
-        done = classification_cv(df, target, classes, features, spec, folds, facts=facts)
+    each = _over_folds(lambda spec: classification_cv(df, target, classes, features, spec, folds, facts=facts), specs, PARALLEL)
+    for spec, done in zip(specs, each):
         if done:
             runs[spec.name] = done
     long = None
@@ -255,9 +272,11 @@ def post_analysis(df: DataFrame, target: str, features: Sequence[str], specs: Se
     table = D.ensemble(shared.select("model", *KEYS, "p"), weights, KEYS, len(classes)).join(facts, list(KEYS)).join(context, list(KEYS))
     table = stored(table.withColumns({"pred": A.class_of_max("p", classes), "confidence": A.confidence("p")}), "ensemble")
     fold_scores = M.class_scores(table, ["fold"], "y", "pred")
+    best_member = max(d.summary["robust_score"] for d in runs.values())
+    whole = M.classification_scores(table, [], "y", "pred", "p", classes).join(F.broadcast(M.fold_summary(fold_scores, [])))
     out = {
         "members": D.member_weights(weights),
-        "ensemble": M.classification_scores(table, [], "y", "pred", "p", classes).join(F.broadcast(M.fold_summary(fold_scores, []))),
+        "ensemble": whole.withColumns({"best_member_robust": F.lit(best_member), "ensemble_improved": F.col("robust_score") > F.lit(best_member)}),
         "folds": fold_scores,
         "selective": D.selective_curve(table, [], "y", "pred", "confidence"),
         "regimes": D.regime_scores(table, "y", "pred", "vol_rank", "trend"),

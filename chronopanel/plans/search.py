@@ -128,7 +128,7 @@ def run_stage(data: SearchData, store: ResultStore, grid: DataFrame, phase: str,
         return record
 
     with ThreadPoolExecutor(parallelism) as pool:
-        work = inheritable_thread_target(one)
+        work = inheritable_thread_target(data.frame.sparkSession)(one)
         waiting = [pool.submit(work, row) for row in todo]
         try:
             for finished in as_completed(waiting):
