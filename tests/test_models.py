@@ -57,7 +57,8 @@ def test_facts_are_worked_out_once(panel, monkeypatch):
 def test_models_learn_and_come_back(spark, panel, name):
     train, test = panel.filter("date < '2019-07-01'"), panel.filter("date >= '2019-07-01'")
     for target, classes in (("label_dynamic", [-1, 0, 1]), ("target_move_dynamic", [0, 1])):
-        fitted = MD.fit_classifier(train, FEATS, target, SMALL[name].sized(25, 4))
+        spec = SMALL[name].sized(12, 4)
+        fitted = MD.fit_classifier(train, FEATS, target, MD.replace(spec, step=0.3) if spec.family == "boost" else spec)
         registry = ModelRegistry(spark, scratch_path(spark, "registry"))
         assert [registry.publish("h", fitted, {"target": target}) for _ in range(2)] == [1, 2]
         loaded, card = registry.load("h")
@@ -79,7 +80,7 @@ def test_models_learn_and_come_back(spark, panel, name):
 @pytest.mark.parametrize("name", sorted(MD.REGRESSORS))
 def test_regressors(panel, name):
     train, test = panel.filter("date < '2019-07-01'"), panel.filter("date >= '2019-07-01'")
-    spec = MD.REGRESSORS[name].sized(30, 4)
+    spec = MD.REGRESSORS[name].sized(12, 4)
     spec = MD.replace(spec, step=0.3) if spec.family == "boost_reg" else spec
     fitted = MD.fit_regressor(train, FEATS, "ret", spec)
     got = MD.predict_values(fitted, test, CV.KEYS).join(test.select("date", "ret"), "date")

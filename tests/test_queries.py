@@ -15,10 +15,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
 
-SLOW = {
-    "task_evaluation", "two_stage_models", "baseline_research", "move_search", "three_class_search", "exhaustive_search",
-    "seed_stability", "post_analysis", "task_formulations", "regression_formulations", "model_dataset_profile",
-}
+#: Their plans are run over small panels by ``test_models`` and ``test_staged``.
+SLOW = {"task_evaluation", "two_stage_models", "baseline_research", "move_search", "three_class_search", "seed_stability", "post_analysis"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
