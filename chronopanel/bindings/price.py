@@ -614,7 +614,7 @@ HS = "(PARTITION BY series_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND
               {enough('close', 14, 14, '-100 * (max(high) OVER {w} - close) / nullif(max(high) OVER {w} - min(low) OVER {w}, 0)', order='nb.rn', key='nb.series_id')} AS willr_14
             FROM nb JOIN a USING (series_id, rn) JOIN b USING (series_id, rn) JOIN c USING (series_id, rn) JOIN l USING (series_id, rn) JOIN g USING (series_id, rn)
               JOIN u USING (series_id, rn) JOIN d USING (series_id, rn) JOIN t USING (series_id, rn) JOIN f USING (series_id, rn) JOIN s USING (series_id, rn) JOIN fl USING (series_id, rn)""",
-        "series_id", "hour", HOURLY, digits=4,
+        "series_id", "hour", HOURLY,
         ctes=HB
         + f""", mv AS (SELECT series_id, rn, CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss,
               CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM nb),
@@ -626,7 +626,6 @@ HS = "(PARTITION BY series_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND
         + seeded("u", "mv", "gain", 1 / 14, 14) + seeded("d", "mv", "loss", 1 / 14, 14) + seeded("t", "mv", "tr", 1 / 14, 14)
         + seeded("f", "fl", "ad", E.span_alpha(3), 3) + seeded("s", "fl", "ad", E.span_alpha(10), 10),
     ),
-    digits=4,
 )
 def _(spark, sf_dir):
     """Classic indicators of an intraday panel, carried from block to block."""
