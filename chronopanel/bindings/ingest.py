@@ -228,7 +228,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "report")
-    tabular.write_report(SEL.describe_panel(line_bars(spark, sf_dir)).drop("columns", "series_used"), path)
+    tabular.write_report(SEL.describe_panel(line_bars(spark, sf_dir)).drop("columns", "n_series"), path)
     return spark.read.schema("rows bigint, date_start date, date_end date").json(path)
 
 

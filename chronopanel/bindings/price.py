@@ -486,19 +486,22 @@ def _(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy("series_id").agg(F.avg("target_move_dynamic").alias("move_share"))
 
 
-SEQ_SQL = f"""SELECT series_id, date, label_dynamic AS label, sc, sv, c0, n FROM (
-  SELECT *, count(*) OVER p AS n, sum(close) OVER p AS sc, sum(volume) OVER p AS sv, first_value(close) OVER p AS c0
+SEQ_SQL = f"""SELECT series_id, date, label_dynamic AS label, sc, sv, c0, n, sha256(array_to_string(steps, ';')) AS steps FROM (
+  SELECT *, count(*) OVER p AS n, sum(close) OVER p AS sc, sum(volume) OVER p AS sv, first_value(close) OVER p AS c0,
+    list(CAST(round(close * 100) AS BIGINT) || ':' || CAST(round(volume * 100) AS BIGINT)) OVER p AS steps
   FROM labelled WINDOW p AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) WHERE n = 60"""
 
 
-@query("sequences", "W35 N04", out(SEQ_SQL, "series_id", "date", "sc sv c0", "label n", ctes=LABELS, digits=3), digits=3)
+@query("sequences", "W35 N04", out(SEQ_SQL, "series_id steps", "date", "sc sv c0", "label n", ctes=LABELS, digits=3), digits=3)
 def _(spark, sf_dir):
-    """Sixty-row sequences, reported by length, column sums and first element."""
+    """Sixty-row sequences, reported by length, column sums, first element and a digest of all steps in order."""
     seq = sequences(labelled(spark, sf_dir), W, ["close", "volume"], "label_dynamic", 60)
     total = lambda i: F.aggregate("sequence", F.lit(0.0), lambda acc, s: acc + s[i])
+    cents = lambda x: F.round(x * 100).cast("long").cast("string")
+    steps = F.array_join(F.transform("sequence", lambda s: F.concat(cents(s[0]), F.lit(":"), cents(s[1]))), ";")
     return seq.select(
         "series_id", "date", "label", total(0).alias("sc"), total(1).alias("sv"),
-        F.col("sequence")[0][0].alias("c0"), F.size("sequence").alias("n"),
+        F.col("sequence")[0][0].alias("c0"), F.size("sequence").alias("n"), F.sha2(steps, 256).alias("steps"),
     )
 
 

@@ -10,6 +10,7 @@ from ..operators import joins as J
 from ..operators import panel as PN
 from ..operators import peers as P
 from ..operators.selection import profile
+from ..session import stored
 from .base import (
     ANCHOR, BARS, BASE, METRICS, PEERS, S, SPARSE, corr_sql, enough, frame, line_bars, out, query, sparse_closes,
     status_metrics, table,
@@ -203,11 +204,14 @@ def _(spark, sf_dir):
 @query(
     "panel_metadata", "A06",
     out(
-        "SELECT count(*) AS rows, 8 AS columns, min(date) AS date_start, max(date) AS date_end, array_to_string(list_sort(list(DISTINCT series_id)), ',') AS series_used FROM bars",
-        "series_used", "date_start date_end", (), "rows columns", ctes=BARS,
+        """SELECT series_id, count(*) AS series_rows, min(date) AS series_start, max(date) AS series_end, any_value(n) AS rows, 8 AS columns,
+             any_value(lo) AS date_start, any_value(hi) AS date_end, any_value(k) AS n_series
+           FROM bars, (SELECT count(*) AS n, min(date) AS lo, max(date) AS hi, count(DISTINCT series_id) AS k FROM bars) GROUP BY 1""",
+        "series_id", "series_start series_end date_start date_end", (), "series_rows rows columns n_series", ctes=BARS,
     ),
 )
 def _(spark, sf_dir):
-    from ..operators.selection import describe_panel
+    from ..operators.selection import describe_panel, describe_series
 
-    return describe_panel(line_bars(spark, sf_dir)).withColumn("series_used", F.array_join("series_used", ","))
+    bars = stored(line_bars(spark, sf_dir), "bars")
+    return describe_series(bars).join(F.broadcast(describe_panel(bars)))

@@ -66,13 +66,19 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def describe_panel(df: DataFrame, key: str = "series_id") -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
+def describe_series(df: DataFrame, key: str = "series_id", date: str = "date") -> DataFrame:
+    """One row per series: its rows, first and last date."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("series_rows"), F.min(date).alias("series_start"), F.max(date).alias("series_end"))
+
+
+def describe_panel(df: DataFrame, key: str = "series_id", date: str = "date") -> DataFrame:
+    """One row on the whole panel; which series it holds is ``describe_series``, as many rows as there are."""
+    return describe_series(df, key, date).agg(
+        F.coalesce(F.sum("series_rows"), F.lit(0)).alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
-        F.min("date").alias("date_start"),
-        F.max("date").alias("date_end"),
-        F.array_sort(F.collect_set(key)).alias("series_used"),
+        F.min("series_start").alias("date_start"),
+        F.max("series_end").alias("date_end"),
+        F.count(key).alias("n_series"),
     )
 
 
