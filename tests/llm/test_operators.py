@@ -272,6 +272,44 @@ def test_profile_counts_every_gram(spark):
     assert langid.profiles(docs)["xx"].tolist() == want
 
 
+def gram_order(texts):
+    """Codes of all n-grams of the words of some texts, most frequent first, equally frequent ones by code."""
+    counts = defaultdict(int)
+    for unit in " ".join(texts).split():
+        for word in bpe.regex.findall(r"\p{L}+", unit.lower()):
+            padded = f" {word} "
+            for n in (1, 2, 3):
+                for i in range(len(padded) - n + 1):
+                    if padded[i : i + n] != " ":
+                        counts[sum(ord(c) << 21 * (2 - k) for k, c in enumerate(padded[i : i + n]))] += 1
+    return sorted(counts, key=lambda g: (-counts[g], g))
+
+
+def test_distances_are_out_of_place(spark):
+    """Language and score of every text against ranks compared one by one; languages with one profile tie, the first name wins."""
+    r = random.Random(8)
+    letters = {"bb": "abcdeé", "aa": "abcdeé", "zz": "cdefgh", "mm": "eéxyzß"}
+    make = lambda lang, n: " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(1, 5))) for _ in range(n))
+    twin = make("bb", 200)
+    learned = [("bb", twin), ("aa", twin), ("zz", make("zz", 300)), ("mm", make("mm", 250)), ("zz", make("zz", 10)), (None, "qqq"), ("mm", None)]
+    known = langid.profiles(spark.createDataFrame([(lang, t) for lang, t in learned], "lang string, text string"))
+    orders = {lang: gram_order([t for other, t in learned if other == lang and t])[: langid.PROFILE] for lang in letters}
+    assert {lang: v.tolist() for lang, v in known.items()} == orders
+    texts = [make(r.choice(list(letters)), r.randint(1, 60)) for _ in range(80)] + ["", None, "12 !", "É é", "ẞ ŉ İ", "a", "a a a", "日本 語", "q" * 5000, make("zz", 3000), twin]
+    got = {x.doc_id: x for x in langid.predicted(table(spark, texts), known).collect()}
+    ties = 0
+    for i, t in enumerate(texts):
+        order = gram_order([t or ""])[: langid.PROFILE]
+        if not order:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        distance = {lang: sum(abs(n - orders[lang].index(g)) if g in orders[lang] else langid.PROFILE for n, g in enumerate(order)) for lang in letters}
+        best = min(sorted(distance), key=distance.get)
+        ties += distance["aa"] == distance["bb"] == distance[best]
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 - distance[best] / (langid.PROFILE * len(order)), abs=1e-12)
+    assert ties > 10
+
+
 # --- URL filters --------------------------------------------------------------------------
 
 
