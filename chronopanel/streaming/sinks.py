@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,23 @@ from ..operators.metrics import scores_from_confusion
 from ..session import scratch_path
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """No more state partitions than there are cores: each of them opens and commits its stores in every micro-batch.
+
+    A stream keeps the number that it began with in its checkpoint.
+    """
+    before = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS, before)
+
+
 def drained(stream: DataFrame, label: str, landings: Iterable[Callable[[], None]] = (lambda: None,)) -> DataFrame:
     """Run a stream over everything that is available, into files, and read them back.
 
@@ -21,12 +39,13 @@ def drained(stream: DataFrame, label: str, landings: Iterable[Callable[[], None]
     path, progress = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
     for land in landings:
         land()
-        run = (
-            stream.writeStream.format("parquet").outputMode("append")
-            .option("path", path).option("checkpointLocation", progress)
-            .trigger(availableNow=True).start()
-        )
-        run.awaitTermination()
+        with state_partitions(spark):
+            run = (
+                stream.writeStream.format("parquet").outputMode("append")
+                .option("path", path).option("checkpointLocation", progress)
+                .trigger(availableNow=True).start()
+            )
+            run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
