@@ -22,28 +22,51 @@ def kind_of(kind: T.DataType) -> str:
     return KINDS.get(type(kind), kind.simpleString())
 
 
-def _real(x: Column) -> Column:
-    """A finite number as whole mantissa and exponent of two: exact, and the same wherever doubles are."""
-    size = F.abs(x)
+def _finite(x: Column) -> Column:
+    """Neither zero, infinite nor not a number; the last is the largest to Spark."""
+    return (F.abs(x) > 0) & (F.abs(x) < float("inf"))
+
+
+def _exponent(x: Column) -> Column:
+    """Exponent of two of a finite number, by the logarithm: it may be off by one next to a power of two."""
+    return F.when(_finite(x), F.floor(F.log2(F.abs(x))).cast("int"))
+
+
+def _scaled(x: Column, exponent: Column) -> Column:
+    """The number times a power of two, in two steps that neither overflow nor round: from 2^51 to 2^54."""
+    shift = F.lit(52) - exponent
+    half = F.shiftright(shift, 1)
     power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
-    guess = F.floor(F.log2(size))
-    # the logarithm may be off by one next to a power of two
-    exponent = guess + (size >= power(guess + 1)).cast("long") - (size < power(guess)).cast("long")
-    shift = F.lit(52).cast("long") - exponent
-    half = F.floor(shift / F.lit(2))
-    mantissa = (size * power(half) * power(shift - half)).cast("long").cast("string")
-    text = F.concat(F.when(x < 0, "-").otherwise(""), mantissa, F.lit("p"), (-shift).cast("string"))
-    special = F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0")
+    return F.abs(x) * power(half) * power(shift - half)
+
+
+def _real(x: Column, exponent: Column, scaled: Column) -> Column:
+    """A finite number as whole mantissa and exponent of two: exact, and the same wherever doubles are."""
+    low, high = scaled < 2.0**52, scaled >= 2.0**53
+    mantissa = F.when(low, scaled * 2).when(high, scaled / 2).otherwise(scaled).cast("long").cast("string")
+    power = F.when(low, exponent - 53).when(high, exponent - 51).otherwise(exponent - 52).cast("string")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), mantissa, F.lit("p"), power)
+    special = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == -float("inf"), "-inf").when(x == 0, "0")
     return special.otherwise(text)
 
 
+def _reals(values: Column) -> Column:
+    """Texts of an array of numbers; what a step computes, the next one refers to, as lambdas compute an expression as often as it is written."""
+    steps = F.transform(values, lambda v: F.struct(v.cast("double").alias("x"), _exponent(v.cast("double")).alias("e")))
+    steps = F.transform(steps, lambda s: F.struct(s["x"].alias("x"), s["e"].alias("e"), _scaled(s["x"], s["e"]).alias("m")))
+    return F.transform(steps, lambda s: F.coalesce(_real(s["x"], s["e"], s["m"]), F.lit("N")))
+
+
+REAL = (T.FloatType, T.DoubleType)
+
+
 def canonical(value: Column, kind: T.DataType) -> Column:
     """Text of a value that differs where values differ; a null is N, and texts carry their length."""
     if isinstance(kind, T.ArrayType):
-        inner = F.transform(value, lambda v: canonical(v, kind.elementType))
+        inner = _reals(value) if isinstance(kind.elementType, REAL) else F.transform(value, lambda v: canonical(v, kind.elementType))
         text = F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]"))
-    elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        text = _real(value.cast("double"))
+    elif isinstance(kind, REAL):
+        text = _reals(F.array(value))[0]
     elif isinstance(kind, T.StringType):
         text = F.concat(F.octet_length(value).cast("string"), F.lit(":"), value)
     elif isinstance(kind, T.DateType):
@@ -63,16 +86,25 @@ def fingerprint(df: DataFrame, name: str = "table") -> DataFrame:
     """Order-independent digest of all rows: one pass, partial aggregates only.
 
     A row is the canonical text of its columns by name, its digest 128 bits; the four words of all digests are summed exactly,
-    so that repeated rows count and their order does not.
+    so that repeated rows count and their order does not.  Numbers are written in steps, each of which refers to columns of the
+    one before, and texts are joined as an array: written out at once, they make methods too large for Java's compiler.
     """
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    row = F.concat_ws("|", *[canonical(F.col(f"`{f.name}`"), f.dataType) for f in fields])
-    word = lambda i: F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
+    c, at = lambda k, i: F.col(f"{k}{i}"), range(len(fields))
+    real = [i for i in at if isinstance(fields[i].dataType, REAL)]
+    values = df.select(*[F.col(f"`{f.name}`").cast("double").alias(f"x{i}") if i in real else canonical(F.col(f"`{f.name}`"), f.dataType).alias(f"x{i}") for i, f in enumerate(fields)])
+    values = values.select("*", *[_exponent(c("x", i)).alias(f"e{i}") for i in real])
+    values = values.select("*", *[_scaled(c("x", i), c("e", i)).alias(f"m{i}") for i in real])
+    texts = F.array(*[_real(c("x", i), c("e", i), c("m", i)) if i in real else c("x", i) for i in at])
+    row = F.array_join(F.transform(texts, lambda t: F.coalesce(t, F.lit("N"))), "|")
+    hashed = values.select(F.md5(row).alias("h"))
+    longs = hashed.select(*[F.conv(F.substring("h", 1 + 16 * i, 16), 16, -10).cast("long").alias(f"v{i}") for i in range(2)])
     schema = ",".join(f"{f.name}:{kind_of(f.dataType)}" for f in fields)
-    sums = df.select(F.md5(row).alias("h")).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(word(i)), F.lit(0)).cast("decimal(38,0)").alias(f"w{i}") for i in range(4)]
-    )
-    digest = F.sha2(F.concat_ws("|", F.lit(schema), "rows", "w0", "w1", "w2", "w3"), 256)
+    # sums of 16 bits: whole numbers that fit for 2^47 rows
+    quarter = lambda i: F.shiftrightunsigned(c("v", i // 4), 48 - 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
+    sums = longs.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(quarter(i)), F.lit(0)).cast("decimal(20,0)").alias(f"q{i}") for i in range(8)])
+    words = [c("q", 2 * i) * F.lit(1 << 16) + c("q", 2 * i + 1) for i in range(4)]
+    digest = F.sha2(F.concat_ws("|", F.lit(schema), "rows", *words), 256)
     return sums.select(F.lit(name).alias("name"), "rows", digest.alias("digest"))
 
 

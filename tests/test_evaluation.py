@@ -174,6 +174,40 @@ def test_canonical_text_tells_values_apart(spark):
     assert print_of(rows) == print_of(rows[::-1]) != print_of(rows + rows[:1])
 
 
+def test_fingerprint_digest_and_compiled_methods(spark):
+    """The digest is that of the rows' texts summed word by word, and no generated method of a table like lineitem is too large for Java's compiler."""
+    import contextlib
+    import hashlib
+    import io
+    import re
+
+    def real(x):
+        if x is None or x == 0 or not math.isfinite(x):
+            return "N" if x is None else "0" if x == 0 else "nan" if math.isnan(x) else "inf" if x > 0 else "-inf"
+        m, e = math.frexp(abs(x))
+        return f"{'-' if x < 0 else ''}{int(m * 2**53)}p{e - 53}"
+
+    odd = [0.0, -0.0, 1.0, -0.1, 7.5e-310, 5e-324, 1.7976931348623157e308, math.inf, -math.inf, math.nan, None, 2.0**53 - 1, math.nextafter(8.0, 0.0)]
+    rows = [(i, x, None if x is None else -x, 1.5 * i, 0.04, f"t{i}", [x, float(i)], [[x], None]) for i, x in enumerate(odd)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double, d double, t string, u array<double>, w array<array<double>>")
+    lists = lambda xs: f"[{','.join(map(real, xs))}]"
+    texts = [f"{i}|{real(a)}|{real(b)}|{real(c)}|{real(d)}|{len(t)}:{t}|{lists(u)}|[{lists(w[0])},N]" for i, a, b, c, d, t, u, w in rows]
+    # columns by name
+    texts = ["|".join([*x[1:5], x[0], *x[5:]]) for x in (y.split("|") for y in texts)]
+    words = [sum(int(hashlib.md5(x.encode()).hexdigest()[8 * k : 8 * k + 8], 16) for x in texts) for k in range(4)]
+    schema = "a:real,b:real,c:real,d:real,i:int,t:text,u:list of real,w:list of list of real"
+    got = FP.fingerprint(df).first()
+    assert (got["rows"], got["digest"]) == (len(rows), hashlib.sha256("|".join(map(str, [schema, len(rows), *words])).encode()).hexdigest())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            FP.fingerprint(df.drop("u", "w")).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
 def test_regression_selection_ignores_validation_targets(spark):
     """Target quantiles come from a fold's training rows: other validation targets choose the same features."""
     import datetime as dt
