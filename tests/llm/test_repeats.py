@@ -86,3 +86,24 @@ def test_corpus_order_is_that_of_suffixes(letters):
     assert [bool(x) for x in same] == [i > 0 and found[i] == found[i - 1] for i in range(len(found))]
     # equal strings are neighbours
     assert sum(not x for x in same) == len(set(found))
+
+
+def test_common_triggers_are_cut_coarsely(spark):
+    """A passage in many places, alone and in repeated surroundings: its phrases give a few pieces each, not a row per string."""
+    r = random.Random(11)
+    passage = text(r, 300, "abcdefghijklmnop ")
+    around = [text(r, 200) for _ in range(4)]
+    texts = [text(r, 300) + r.choice(["", around[0][-60:]]) + passage + r.choice(["", around[1][:90]]) + text(r, 300) for _ in range(60)]
+    texts += [r.choice(around) + passage + r.choice(around) for _ in range(20)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    phrases = [(7, i, 0, 1, int(repeats.phrases([t.encode()])[4][0]), t.encode()) for i, t in enumerate(texts)]
+    strings = sum(len(p[5]) - 399 for p in phrases)
+    cut = spark.createDataFrame([(*p[:4], min(p[4], 336), p[5][: min(p[4], 336) + 400]) for p in phrases], "u long, v long, w long, n long, at int, text binary")
+    pieces = repeats._cut(cut, 400, repeats.STEPS[0]).collect()
+    assert len(pieces) <= 12 * len(texts) < strings / 8
+    # every string is in one piece
+    assert sum(p["last"] - p["first"] + 1 for p in pieces) == sum(min(p[4], 336) + 1 for p in phrases)
+    for together in (2, 8):
+        out = repeats.without_repeats(docs, together=together).collect()
+        assert sorted((tuple(x) for x in out), key=str) == plain(rows, 400)
