@@ -402,6 +402,38 @@ def test_vectors_of_every_length_are_linked(spark):
     assert {g.vec_id: (g.n_links, g.component_id, g.kept) for g in got.collect()} == want and all(any(want[k][0] for k in range(s, s + 60)) for s in (0, 60, 120))
 
 
+def test_tiles_of_vectors_meet_without_being_dealt_out(spark, monkeypatch):
+    """Many tiles of a label, labels of one tile, copies, ids that repeat or are null: every link, and no pair of tiles is shuffled."""
+    monkeypatch.setattr(quantised, "TILE", 16)
+    kept, plans = quantised.stored, {}
+
+    def stored(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, label)
+
+    monkeypatch.setattr(quantised, "stored", stored)
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(12, 24))[r.integers(0, 12, 300)] + r.normal(size=(300, 24)) * r.choice([0.05, 0.3, 2], size=(300, 1))).astype(np.float32)
+    x[280:] = x[r.integers(0, 20, 20)]
+    label = np.array(["a"] * 200 + ["b"] * 60 + ["c"] * 5 + ["d"] * 2 + ["a"] * 33)
+    ids = [None if i % 50 == 7 else i - i % 2 for i in range(300)]
+    rows = [(k, [float(c) for c in v], str(w)) for k, v, w in zip(ids, x, label)]
+    rows.append((1000, [-float(c) for c in x[0]], "a"))
+    got = quantised.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(4), 0.93)
+    u = np.array([v for _, v, _ in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    label = np.append(label, "a")
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    comp = np.arange(301)
+    while ((low := np.array([min(comp[i], comp[near[i]].min(initial=301)) for i in range(301)])) != comp).any():
+        comp = low
+    lowest = {k: min((i for (i, *_), at in zip(rows, comp) if at == k and i is not None), default=None) for k in comp}
+    want = [(i, int(n), lowest[k], i == lowest[k]) for (i, *_), n, k in zip(rows, near.sum(axis=1), comp)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and near.sum() > 1000
+    assert "Exchange" not in plans["found"]
+
+
 # --- SimHash ------------------------------------------------------------------------------
 
 
