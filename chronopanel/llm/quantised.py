@@ -344,7 +344,7 @@ def _of_length(rows: DataFrame, dims: int, size: int, labels: int, different: in
     tiles = laid_out(rows.filter(linkable("label", "vector") & (F.size("vector") == dims)), index, dims)
     found = stored(links(tiles, index, dims, precision(rows), cosine), "found")
     counts = found.filter("v IS NULL").groupBy(c("u").alias("of")).agg(F.sum("n").alias("n"))
-    nodes = components(found.filter("v IS NOT NULL").select("u", "v")).join(counts.hint("merge"), c("node") == c("of"))
+    nodes = components(found.filter("v IS NOT NULL").select("u", "v"), "merge").join(counts.hint("merge"), c("node") == c("of"))
     named = classes(tiles).join(nodes.hint("merge"), c("key") == c("node"), "left").filter("n IS NOT NULL OR copies > 1")
     named = stored(
         named.select("label", "head", "tail", "low", F.coalesce("component", "key").alias("component"), (F.coalesce("n", F.lit(0)) + c("copies") - 1).alias("n_links")),

@@ -12,8 +12,9 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from chronopanel.llm import bpe, langid, lm, packing, quantised, radix, secrets, simhash, urlfilter, warc
+from chronopanel.llm import bpe, common, langid, lm, packing, quantised, radix, secrets, simhash, urlfilter, warc
 from chronopanel.llm.common import components, spanning
 from chronopanel.session import scratch_path
 
@@ -434,6 +435,32 @@ def test_tiles_of_vectors_meet_without_being_dealt_out(spark, monkeypatch):
     assert "Exchange" not in plans["found"]
 
 
+def test_no_vectors_are_broadcast_and_few_sent_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(quantised, "SAMPLE", 64)
+    plans, ordered, write, limit = [], [], quantised.stored, DataFrame.limit
+
+    def stored(df, label="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    def limited(df, n):
+        ordered.append(df.count())
+        return limit(df, n)
+
+    monkeypatch.setattr(quantised, "stored", stored)
+    monkeypatch.setattr(common, "stored", stored)
+    monkeypatch.setattr(DataFrame, "limit", limited)
+    x = np.random.default_rng(9).normal(size=(2000, 16))
+    x[::50] = x[0] + x[::50] / 20
+    df = spark.createDataFrame([(i, [float(c) for c in v], i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out = quantised.near_vectors(df.repartition(8), 0.93)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    # each task keeps as many rows for the sample as the sample has
+    assert 64 <= max(ordered) <= 3 * 64
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+    assert out.filter("n_links > 0").count() == 40
+
+
 # --- SimHash ------------------------------------------------------------------------------
 
 
